@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import pairs, splitting, truncation
+from rivulet.llm import neardup, pairs, splitting, truncation
 from rivulet.sources.tables import table
 
 QUERIES: dict = {}
@@ -63,3 +63,19 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "qa_pairs")).select(F.col("key").alias("qa_id"), "defect")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = neardup.texts(table(spark, sf_dir, "documents"), "document", "doc_id", "text")
+    return documents.unionByName(neardup.texts(table(spark, sf_dir, "chunks"), "chunk", "id", "text"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDuplicates(_texts(spark, sf_dir), shingle=3, similarity=0.7).pairs()
+
+
+@query
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups at the usual setting: runs of five words, similarity 0.8."""
+    return neardup.NearDuplicates(_texts(spark, sf_dir)).groups()
