@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import neardup, pairs, splitting, truncation
+from rivulet.llm import history, mixing, neardup, packing, pairs, scans, splitting, tokens, truncation, vectors
 from rivulet.sources.tables import table
 
 QUERIES: dict = {}
@@ -79,3 +79,72 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups at the usual setting: runs of five words, similarity 0.8."""
     return neardup.NearDuplicates(_texts(spark, sf_dir)).groups()
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.duplicates(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "dup_kind")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = vectors.VectorIndex(vectors.usable(table(spark, sf_dir, "chunks").select("id", "embedding"), "id", "embedding", 64), 64)
+    return vectors.mutual(index.search(probes=5, at_least=0.9), 0.9)
+
+
+@query
+def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector of ``embeddings`` whose id is divisible by 50, against all of them."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.VectorIndex(vectors.usable(rows.select("vec_id", "embedding"), "vec_id", "embedding", 64), 64)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("id"))
+    return index.search(asked, probes=max(8, index.n_lists * 6 // 10)).select("id_a", "id_b", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+#: size_limits 'container' and 'small_container'
+CONTAINER, SMALL_CONTAINER = 2048, 512
+
+
+def _packed(spark: SparkSession, sf_dir: str, capacity: int) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return packing.pack(packing.items_of(tokens.sized(documents, ["doc_id"], "text"), "doc_id", capacity), capacity)
+
+
+@query
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of every container of 2,048 tokens, with its unused space."""
+    return _packed(spark, sf_dir, CONTAINER).select("container", "doc", "piece", "size", (F.lit(CONTAINER) - F.col("used")).alias("unused"))
+
+
+@query
+def p8_small_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(_packed(spark, sf_dir, SMALL_CONTAINER), SMALL_CONTAINER)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tokens.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id", "source"], "text"), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> scans.ScanRepair:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("id").alias("doc"), "text")
+    return scans.ScanRepair(documents, table(spark, sf_dir, "chunks").select(F.col("id").alias("key"), F.col("document_id").alias("doc"), "text"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).noise()
+
+
+@query
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).repaired()

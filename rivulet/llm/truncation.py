@@ -26,11 +26,11 @@ LIST_ITEM = r"^\s*([-*•+]|\d+[.)])\s+\S"
 
 
 def _last_line(t: Column) -> Column:
-    return F.regexp_extract(t, r"([^\n]*)$", 1)
+    return F.substring_index(t, "\n", -1)
 
 
 def _strip(t: Column) -> Column:
-    return F.regexp_replace(t, r"\s+$", "")
+    return F.rtrim(t, F.lit(" \n\r\t\f\x0b"))
 
 
 def _plain(t: Column) -> Column:
@@ -65,24 +65,29 @@ def _let(value: Column, body) -> Column:
 def _peel(t: Column) -> Column:
     """``t`` without one trailing line that is a page number, notice, signature or footer."""
 
-    def by_last(last: Column) -> Column:
+    def by_tail(tail: Column) -> Column:
+        # the last line and the one before it are enough: patterns never run over the whole text
+        last = F.trim(F.substring_index(tail, "\n", -1))
+        above = F.substring(tail, F.lit(1), F.length(tail) - F.length(F.substring_index(tail, "\n", -1)) - 1)
+        body = F.substring(t, F.lit(1), F.length(t) - F.length(_last_line(t)) - 1)
         # a footer stands alone on a short line; what comes before it is not part of its sentence
-        apart = t.rlike(r"(\n\s*|[.!?`|)}\]]\s*)\n[^\n]*$") | last.rlike(r"^[^.!?]{2,40}:\s")
+        apart = above.rlike(r"(^\s*|[.!?`|)}\]]\s*)$") | last.rlike(r"^[^.!?]{2,40}:\s")
         footer = last.rlike(FOOTER_END) & (F.size(F.split(last, r"\s+")) <= 9) & ~last.rlike(LIST_ITEM) & ~last.rlike(r"^[|>\d{\[]") & apart
-        gone = (last.rlike(PAGE) | last.rlike(NOTICE) | footer) & t.contains("\n")
-        return F.when(t.rlike(r"\n-- ?\n[^\n]*$"), _strip(F.regexp_replace(t, r"\n-- ?\n[^\n]*$", ""))).when(gone, _strip(F.regexp_replace(t, r"\n?[^\n]*$", ""))).otherwise(t)
+        signature = above.rlike(r"^-- ?$")
+        gone = (last.rlike(PAGE) | last.rlike(NOTICE) | footer) & tail.contains("\n")
+        return F.when(signature, _strip(F.substring(t, F.lit(1), F.length(t) - F.length(tail)))).when(gone, _strip(body)).otherwise(t)
 
-    return _let(F.trim(_last_line(t)), by_last)
+    return _let(F.substring_index(t, "\n", -2), by_tail)
 
 
 def _open_body(t: Column) -> Column:
     def by_last(last: Column) -> Column:
-        marked = t.rlike(r"(\.\.\.|…|\x{FFFD}|\[…\]|\[\.\.\.\])$")
+        marked = last.rlike(r"(\.\.\.|…|\x{FFFD}|\[…\]|\[\.\.\.\])$")
         fences = F.size(F.split(t, r"(?m)^```")) - 1
         open_table = last.rlike(r"^\|") & ~last.rlike(r"\|$")
         open_record = last.rlike(r"^[{\[]\"") & ~last.rlike(r"[}\]]$")
         log = last.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
-        open_log = log & t.rlike(r"=\S+\n[^\n]*$") & ~last.rlike(r"=\S+$")
+        open_log = log & F.substring_index(t, "\n", -2).rlike(r"=\S+\n") & ~last.rlike(r"=\S+$")
         closed = (
             last.rlike(SENTENCE_END) | last.rlike(r"^```") | (last.rlike(r"^\|") & last.rlike(r"\|$")) | last.rlike(r"[}\]]$")
             | last.rlike(LIST_ITEM) | last.rlike(r"^#{1,6}\s") | log | last.rlike(r"^[\w.]+ = \S+$")
@@ -119,10 +124,10 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         F.collect_set(F.when(F.col("measure") == "chars", F.col("size"))).alias("chars"),
         F.collect_set(F.when(F.col("measure") == "bytes", F.col("size"))).alias("bytes"),
     )
-    t = _plain(F.col("text"))
-    proper = (t.rlike(r"[.!?][\"”»)]*$") & ~t.rlike(r"(\.\.\.|…)$")) | t.rlike(r"(^|\n)```$") | t.rlike(r"\|$") | t.rlike(r"\}$")
+    t = _last_line(_plain(F.col("text")))
+    proper = (t.rlike(r"[.!?][\"”»)]*$") & ~t.rlike(r"(\.\.\.|…)$")) | t.rlike(r"^```$") | t.rlike(r"\|$") | t.rlike(r"\}$") | (t.rlike(FOOTER_END) & (F.size(F.split(t, r"\s+")) <= 9))
     at_limit = F.array_contains("chars", F.length("text")) | F.array_contains("bytes", F.octet_length("text"))
-    checked = rows.join(spikes, "source", "left").select("key", "source", (F.coalesce(at_limit, F.lit(False)) & ~proper & ~_last_line(t).rlike(NOTICE)).alias("at_limit"), open_end(F.col("text")).alias("open_end"))
+    checked = rows.join(spikes, "source", "left").select("key", "source", (F.coalesce(at_limit, F.lit(False)) & ~proper & ~t.rlike(NOTICE)).alias("at_limit"), open_end(F.col("text")).alias("open_end"))
     return checked.where("at_limit OR open_end").groupBy("key", "source").agg(F.bool_or("at_limit").alias("at_limit"), F.bool_or("open_end").alias("open_end"))
 
 
