@@ -13,6 +13,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,18 @@ CONFUSIONS = (
 )
 HYPHENS = "-¬‐‑­"
 BREAK = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
-PAGE = re.compile(r"^[\s\-–—\[(|~*.]*(?:page|seite|página|pág\.?|p\.|s\.|blatt|folio)?\s*([0-9OolIS]{1,5})(?:\s*(?:/|\||of|von|de|sur)\s*[0-9OolIS]{1,5})?[\s\-–—\])|~*.]*$", re.I)
+PAGE = re.compile(r"^[\s\-–—\[(|~*.]*(?:page|seite|página|pág\.?|p\.|s\.|blatt|folio)?\s*((?=[OolIS]*\d|[OolI]{2})[0-9OolIS]{1,5})(?:\s*(?:/|\||of|von|de|sur)\s*[0-9OolIS]{1,5})?[\s\-–—\])|~*.]*$", re.I)
 EDGE_NUMBER = re.compile(r"^\W*(?:page|seite|página|p\.|s\.)?\s*\d{1,4}\b\W*\s+\D|\D(?:\s{2,}|\s[–—|/·-]\s?|\s(?:page|seite|página|p\.|s\.)\s?)\d{1,4}\W*$|\D\s+\d{1,4}$", re.I)
-ENDS = re.compile(r"[.!?:;][\"'”»)\]]*$")
+ENDS = re.compile(r"(?<![.\s])[.!?:;][\"'”»)\]]*$")
 STRUCTURE = re.compile(r"^\s*([-*•+]\s|\d+[.)]\s|\||```|>|#{1,6}\s|\{|\d{4}-\d\d-\d\d|From:|To:|Subject:)")
 STRIP = re.compile(r"^[^\w]+|[^\w]+$")
 
+_DIGITS = str.maketrans("OSLI", "0511")
+
 #: Widest line of a page; a known word is in so many other texts; texts and words that the models learn from at most.
 WIDEST, KNOWN, TRAIN_TEXTS, TRAIN_WORDS = 110, 3, 400, 3000
 #: Scores from which a line or a correction is taken.
-LINE_SCORE, WORD_SCORE = 0.5, 0.5
+LINE_SCORE, WORD_SCORE = 0.45, 0.5
 
 
 # --- pages ----------------------------------------------------------------------------------------
@@ -73,7 +76,7 @@ def _known_form(word: str) -> str:
 
 def tokens(line: str) -> list[str]:
     """Words of a line without outer punctuation; numbers, tickets, codes and settings are left out."""
-    return [w for w in (STRIP.sub("", x) for x in line.split()) if w and not re.search(r"[`_=/\\]|\d[.,:]\d|^\d+$|^\p{Lu}+-\d+$".replace(r"\p{Lu}", "A-Z").replace("^A-Z+", "^[A-Z]+"), w) and any(c.isalpha() for c in w)]
+    return [w for w in (STRIP.sub("", x) for x in line.split()) if w and not re.search(r"[`_=/\\]|\d[.,:]\d|^\d+$|^[A-Z]+-\d+$", w) and any(c.isalpha() for c in w)]
 
 
 # --- line pairs -----------------------------------------------------------------------------------
@@ -85,12 +88,16 @@ def _furniture_key(line: str) -> str:
 
 
 def _near(a: str, b: str) -> bool:
-    """Equal but for a few misread characters."""
+    """Equal but for a few misread characters, or one cut short."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 5:
+    if min(len(a), len(b)) < 5:
         return False
-    return sum((Counter(a) - Counter(b)).values()) <= max(1, len(a) // 8) and sum(x == y for x, y in zip(a, b)) + sum(x == y for x, y in zip(a[::-1], b[::-1])) >= 0.8 * len(a)
+    if abs(len(a) - len(b)) > 3:
+        return min(len(a), len(b)) >= 8 and (_near(a[: len(b)], b) if len(a) > len(b) else _near(a, b[: len(a)]))
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    back = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return at + back >= 0.6 * max(len(a), len(b)) or SequenceMatcher(None, a, b, False).ratio() >= 0.8
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -98,7 +105,7 @@ def line_features(lines: list[str]) -> np.ndarray:
     width = max(1, page_width(lines) or max((len(x) for x in lines), default=1))
     full = [i for i, x in enumerate(lines) if x.strip()]
     keys = [_furniture_key(x) for x in lines]
-    numbers = {i: int(re.sub(r"[OoSlI]", lambda m: {"O": "0", "o": "0", "S": "5", "l": "1", "I": "1"}[m.group()], m.group(1))) for i in full if (m := PAGE.match(lines[i]))}
+    numbers = {i: int(m.group(1).upper().translate(_DIGITS)) for i in full if (m := PAGE.match(lines[i]))}
     starts_number = {i: int(m.group()) for i in full if i not in numbers and (m := re.search(r"^\W*\d{1,4}\b(?=\W*\s\D)|\b\d{1,4}(?=\W*$)", lines[i])) and m.group().strip().isdigit()}
     every = sorted({*numbers.values(), *starts_number.values()})
     short = [i for i in full if len(lines[i].strip()) < 0.85 * width and not ENDS.search(lines[i].rstrip())]
@@ -107,7 +114,7 @@ def line_features(lines: list[str]) -> np.ndarray:
     for i, line in enumerate(lines):
         text = line.strip()
         if not text:
-            rows.append([0.0] * 24)
+            rows.append([0.0] * 25)
             continue
         at = full.index(i) if i in (full[0], full[-1]) else None
         before = next((j for j in range(i - 1, -1, -1) if lines[j].strip()), None)
@@ -127,6 +134,7 @@ def line_features(lines: list[str]) -> np.ndarray:
             float(n > 0 and (n - 1 in every)), float(n > 0 and (n + 1 in every)), sum(c.isdigit() for c in text) / len(text), sum(c.isupper() for c in text) / len(text),
             float(len(words)), sum(w[:1].isupper() for w in words) / len(words), float(last.endswith(":")), float(len(line) - len(line.lstrip())),
             float(i > 0 and not lines[i - 1].strip()), float(i + 1 < len(lines) and not lines[i + 1].strip()),
+            float(line.startswith("\f")),
         ])
     return np.array(rows)
 
@@ -138,15 +146,15 @@ def made_up_page(text: str, rng: random.Random) -> tuple[list[str], list[str]] |
         return None
     names = re.findall(r"\b[A-Z][a-z]{4,}(?: [A-Z][a-z]+)?", text) or ["Annual Report"]
     title = rng.choice([" ".join(rng.choice(paragraphs).split()[: rng.randint(2, 5)]).strip(".,;:"), f"{rng.choice(names)}: {rng.choice(text.split()).strip('.,;:`')}"])
-    running = rng.choice([title, title.upper(), rng.choice(names), rng.choice(names).upper(), f"{rng.choice(names)}{rng.choice(['  ', ' – ', ' / ', ' | '])}{rng.choice(names)}"])
+    running = rng.choice([title, title.upper(), title[: rng.randint(8, 24)] + " ...", rng.choice(names), rng.choice(names).upper(), f"{rng.choice(names)}{rng.choice(['  ', ' – ', ' / ', ' | '])}{rng.choice(names)}"])
     # a scanner may harm a header too
-    header = lambda: (running if rng.random() > 0.15 else (lambda k: running[:k] + rng.choice("l1.,'i") + running[k + 1 :])(rng.randrange(len(running))))
+    header = lambda: (running if rng.random() > 0.25 else (lambda k: running[:k] + rng.choice("l1.,'i") + running[k + 1 :])(rng.randrange(len(running))))
     width, gap, blank = rng.randint(50, 76), rng.random() < 0.5, rng.random() < 0.5
     indent = "   " if rng.random() < 0.3 else ""
     lines, kinds = [title, ""], ["title", "blank"]
     page, left = rng.randint(1, 30), rng.randint(10, 24)
-    total, style, order = page + rng.randint(2, 9), rng.randrange(8), rng.randrange(5)
-    hyphen = rng.choice("--¬‐")
+    total, style, order = page + rng.randint(2, 9), rng.randrange(8), rng.randrange(6)
+    hyphen, feed = rng.choice("--¬‐"), rng.random() < 0.2
 
     def number() -> str:
         return [str(page), f"- {page} -", f"— {page} —", f"Page {page}", f"     {page}", f"[{page}]", f"{page}/{total}", f"Seite {page}"][style]
@@ -154,14 +162,14 @@ def made_up_page(text: str, rng: random.Random) -> tuple[list[str], list[str]] |
     def furniture() -> None:
         nonlocal page, left
         page, left = page + 1, rng.randint(10, 24)
-        joined = rng.choice([f"{header()}   {page}", f"{page}   {header()}", f"{header()} {rng.choice('–|/')} {page}"])
-        made = [[("pageno", number())], [("header", header())], [("pageno", number()), ("header", header())], [("header", header()), ("pageno", number())], [("header", joined)]][order]
+        joined = [f"{header()}   {page}", f"{page}   {header()}", f"{header()} {rng.choice('–|/')} {page}"][style % 3]
+        made = [[("pageno", number())], [("header", header())], [("pageno", number()), ("header", header())], [("header", header()), ("pageno", number())], [("header", joined)], [("header", joined)]][order]
         if blank and rng.random() < 0.4:
             made = [("blank", ""), *made]
         if blank:
             made = [*made, ("blank", "")]
-        for kind, line in made:
-            lines.append(line)
+        for at, (kind, line) in enumerate(made):
+            lines.append("\f" + line if feed and kind != "blank" and not any(k != "blank" for k, _ in made[:at]) else line)
             kinds.append(kind)
 
     for p in paragraphs[:14]:
@@ -420,6 +428,50 @@ def corrections(words: DataFrame, vocabulary: DataFrame, ranker: Boosted | None)
     return scored.groupBy("word").agg(F.max_by("right", F.struct("p", "rn", "right")).alias("right"))
 
 
+def _bare(line: str) -> str:
+    """A header's text without the page number at either end."""
+    return re.sub(r"^\W*\d+\W+|\W+\d+\W*$", "", line.strip())
+
+
+def agree(lines: list[str], kinds: list[set[str]]) -> None:
+    """Make the furniture of a page's breaks agree: the same places hold the same kinds from break to break."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    place = {i: k for k, i in enumerate(full)}
+    width = max(1, page_width(lines) or max(map(len, lines)))
+    number = {i: m.group(1).upper().translate(_DIGITS) for i in full if (m := PAGE.match(lines[i]))}
+    side = lambda i, d: full[place[i] + d] if 0 <= place[i] + d < len(full) else None
+    pages = {int(number[i]) for i in full if "pageno" in kinds[i]}
+    for i in number:
+        above = side(i, -1)
+        counted = {int(number[i]) - 1, int(number[i]) + 1} & pages
+        if i != full[0] and not (above is not None and lines[above].rstrip().endswith(":")):
+            beside = any(j is not None and abs(j - i) == 1 and "header" in kinds[j] for j in (above, side(i, 1)))
+            if counted or beside:
+                kinds[i].add("pageno")
+    stops = [i for i in full if "pageno" in kinds[i]]
+    texts = [_bare(lines[i]) for i in full if "header" in kinds[i]]
+    for d in (-1, 1):
+        next_to = [j for i in stops if (j := side(i, d)) is not None and abs(j - i) <= 2]
+        held = sum("header" in kinds[j] for j in next_to)
+        for j in next_to:
+            line = lines[j].strip()
+            fits = len(line) < 0.85 * width and not ENDS.search(line) and not BREAK.search(line) and line[:1].isupper() and j != full[0] and j not in number
+            known = any(len(t) >= 5 and (line.startswith(t) or t.startswith(line) or _near(_furniture_key(t), _furniture_key(line))) for t in texts)
+            if fits and (known or held >= 0.5 * len(next_to) and held > 1):
+                kinds[j].add("header")
+    main = Counter(_bare(lines[i]) for i in full if "header" in kinds[i])
+    if main:
+        usual = main.most_common(1)[0][0]
+        for i in full:
+            if "header" not in kinds[i]:
+                continue
+            apart = not (i and lines[i - 1].strip()) and not (i + 1 < len(lines) and lines[i + 1].strip())
+            by_number = any(j is not None and abs(j - i) <= 2 and "pageno" in kinds[j] for j in (side(i, -1), side(i, 1)))
+            alike = SequenceMatcher(None, usual, _bare(lines[i]), False).ratio() >= 0.75
+            if apart and not by_number and not alike and not lines[i].startswith("\f"):
+                kinds[i].discard("header")
+
+
 def label_lines(lines: list[str], models: dict[str, Boosted], wrong: dict[str, str], known: set[str]) -> list[set[str]]:
     """Kinds of noise of each line of a page, a set for each."""
     kinds: list[set[str]] = [set() for _ in lines]
@@ -432,6 +484,7 @@ def label_lines(lines: list[str], models: dict[str, Boosted], wrong: dict[str, s
         for i in full:
             if p[i] >= LINE_SCORE and i != full[0] and not (kind == "pageno") ^ bool(PAGE.match(lines[i])):
                 kinds[i].add(kind)
+    agree(lines, kinds)
     for i, head, rest, mark, goes_on in _breaks(lines, kinds):
         head, rest = _known_form(head), _known_form(rest)
         compound = mark == "-" and goes_on and f"{head}-{rest}" in known and head + rest not in known

@@ -178,7 +178,7 @@ class VectorIndex:
 
         return queries.select("h1", "h2", "x").mapInArrow(near, "h1 bigint, h2 int, x binary, lists array<int>").select("h1", "h2", "x", F.explode("lists").alias("list"))
 
-    def search(self, queries: DataFrame | None = None, probes: int = 4, at_least: float = -2.0, slack: float = 0.3, rerank: int = 40) -> DataFrame:
+    def search(self, queries: DataFrame | None = None, probes: int = 4, at_least: float = -2.0, slack: float = 0.3, rerank: int = 160) -> DataFrame:
         """``(id_a, id_b, similarity, rank)``: for each query id its ``k`` most similar other ids by (cosine, id).
 
         ``queries`` is ``(id)`` of indexed vectors, all of them when absent.  With ``at_least`` only neighbours
