@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rivulet.plans import reference_checks
+from rivulet.plans import reference_checks, retrieval
 
-QUERIES = dict(reference_checks.QUERIES)
-ORACLE = dict(reference_checks.ORACLE)
+_PLANS = (reference_checks, retrieval)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
