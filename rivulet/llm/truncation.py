@@ -126,8 +126,10 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     )
     t = _last_line(_plain(F.col("text")))
     proper = (t.rlike(r"[.!?][\"”»)]*$") & ~t.rlike(r"(\.\.\.|…)$")) | t.rlike(r"^```$") | t.rlike(r"\|$") | t.rlike(r"\}$") | (t.rlike(FOOTER_END) & (F.size(F.split(t, r"\s+")) <= 9))
-    at_limit = F.array_contains("chars", F.length("text")) | F.array_contains("bytes", F.octet_length("text"))
-    checked = rows.join(spikes, "source", "left").select("key", "source", (F.coalesce(at_limit, F.lit(False)) & ~proper & ~t.rlike(NOTICE)).alias("at_limit"), open_end(F.col("text")).alias("open_end"))
+    # the texts stay where they are: lengths and verdicts meet the spikes
+    judged = rows.select("key", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), (proper | t.rlike(NOTICE)).alias("proper"), open_end(F.col("text")).alias("open_end"))
+    at_limit = (F.array_contains("chars", F.col("n_chars")) | F.array_contains("bytes", F.col("n_bytes"))) & ~F.col("proper")
+    checked = judged.join(spikes, "source", "left").select("key", "source", F.coalesce(at_limit, F.lit(False)).alias("at_limit"), "open_end")
     return checked.where("at_limit OR open_end").groupBy("key", "source").agg(F.bool_or("at_limit").alias("at_limit"), F.bool_or("open_end").alias("open_end"))
 
 
