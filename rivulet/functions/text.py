@@ -80,5 +80,8 @@ def context_header(source: Column, section: Column, page: Column) -> Column:
 
 def json_rescue(text: Column, schema: str) -> Column:
     """JSON in a model's answer: the whole text, else its first bracketed list or outermost object; null if neither parses."""
-    pattern = r"(?s)\[.*?\]" if schema.lower().startswith("array") else r"(?s)\{.*\}"
-    return F.coalesce(F.from_json(strip(text), schema), F.from_json(F.regexp_extract(text, pattern, 0), schema))
+    listed = schema.lower().startswith("array")
+    pattern, whole = (r"(?s)\[.*?\]", r"(?s)^\[.*\]$") if listed else (r"(?s)\{.*\}", r"(?s)^\{.*\}$")
+    bare = strip(text)
+    found = F.when(bare.rlike(whole), bare).otherwise(F.regexp_extract(text, pattern, 0))
+    return F.when(found != "", F.from_json(found, schema))

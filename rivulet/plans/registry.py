@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rivulet.plans import reference_checks, retrieval
+from rivulet.plans import evaluation, ingestion, reference_checks, retrieval
 
-_PLANS = (reference_checks, retrieval)
+_PLANS = (reference_checks, retrieval, evaluation, ingestion)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
