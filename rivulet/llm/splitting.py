@@ -35,7 +35,7 @@ def piece_pattern(capacity: int, overlap: int) -> str:
         raise ValueError("the overlap must be smaller than the capacity")
     half = max(1, room // 2)
     spans = [(half, room - 1), (min(max(1, overlap), half), half)]
-    parts = []
+    parts = [rf"[\s\S]{{1,{room}}}\z"]  # a rest that fits is not cut
     for low, high in spans:
         for end in _ENDS:
             top = high - 1 if end == r"\n{2,}" else high
@@ -52,12 +52,17 @@ def pieces(text: Column, capacity: int, overlap: int) -> Column:
     """
     tiles = F.regexp_extract_all(text, F.lit(piece_pattern(capacity, overlap)), F.lit(0))
 
-    def with_overlap(tile: Column, i: Column) -> Column:
-        before = F.concat(F.when(i > 1, F.element_at(tiles, i - 1)).otherwise(""), F.when(i > 0, F.element_at(tiles, i)).otherwise(""))
-        return F.concat(F.right(before, F.lit(overlap)), tile) if overlap else tile
+    def with_overlap(all_tiles: Column) -> Column:
+        # element_at counts from 1, so element i is the tile before the one at position i
+        def repeat(tile: Column, i: Column) -> Column:
+            before = F.concat(F.when(i > 1, F.element_at(all_tiles, i - 1)).otherwise(""), F.when(i > 0, F.element_at(all_tiles, i)).otherwise(""))
+            return F.concat(F.right(before, F.lit(overlap)), tile)
 
-    # element_at counts from 1, so element i is the tile before the one at position i
-    return F.when(F.length(text) <= capacity, F.array(text)).otherwise(F.transform(tiles, with_overlap))
+        return F.transform(all_tiles, repeat)
+
+    # as a lambda's variable the tiles are made once, not once for each of them
+    cut = F.element_at(F.transform(F.array(tiles), with_overlap), 1) if overlap else tiles
+    return F.when(F.length(text) <= capacity, F.array(text)).otherwise(cut)
 
 
 def longest_piece(text: Column, separator: str) -> Column:
