@@ -89,7 +89,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = vectors.VectorIndex(vectors.usable(table(spark, sf_dir, "chunks").select("id", "embedding"), "id", "embedding", 64), 64)
-    return vectors.mutual(index.search(probes=6, at_least=0.9), 0.9)
+    return vectors.mutual(index.search(probes=3, at_least=0.9), 0.9)
 
 
 @query

@@ -229,6 +229,10 @@ class VectorIndex:
             return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, types)], names)
 
         scored = wanted.groupBy("list", "d", "q").cogroup(rows.groupBy("list", "d", "q")).applyInArrow(score, "qa1 bigint, qa2 int, h1 bigint, h2 int, similarity double")
+        if queries is None and at_least > -1:
+            # similarity goes both ways: a pair met from one side serves the other, so fewer lists need a visit
+            other = scored.select(F.col("h1").alias("qa1"), F.col("h2").alias("qa2"), F.col("qa1").alias("h1"), F.col("qa2").alias("h2"), "similarity")
+            scored = scored.unionByName(other).groupBy("qa1", "qa2", "h1", "h2").agg(F.max("similarity").alias("similarity"))
         # of each query the best k + 1 vectors (its own among them); a vector sits in one list only
         best = Window.partitionBy("qa1", "qa2").orderBy(F.desc("similarity"))
         limited = scored.withColumn("rn", F.rank().over(best)).where(F.col("rn") <= self.k + 1).drop("rn")
