@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,14 @@ from rivulet.session import drop_path, materialize, scratch_path
 #: Words a suffix is ordered by, eight bits of hash each, and the window of which the least is chosen.
 DEPTH, WINDOW = 8, 8
 #: Texts of fewer words are indexed at every word; those below SHORT also by every three words.
-DENSE, SHORT = 128, 24
-#: Hits of one substring in one segment that the first search returns; records it leaves open are searched without it.
-FIRST_HITS = 16
-#: Share of the fewer chosen substrings of two records that must match before they are verified.
-COVERED = 0.1
+DENSE, SHORT = 64, 24
+#: A substring with more hits in one segment gives the one of least id in the first search; records that this leaves open are searched without it.
+FIRST_HITS = 4
+#: Share of the fewer chosen substrings of two records that must match before they are verified, and the least part of a
+#: record's count that a near copy's count can be.
+COVERED, ALIKE = 0.2, 0.5
+#: Segments of like size that are merged to one, and the ids up to which a set of records is broadcast after counting it.
+FANOUT, BROADCAST_IDS = 4, 500_000
 #: Suffixes of a range partition at which the number of partitions is set.
 PARTITION = 1_000_000
 _SHINGLE = 3
@@ -139,18 +143,24 @@ class SuffixStore:
         rows = self._rows(batch)
         path = self._write(rows)
         self.segments.append((path, self.spark.read.parquet(path).count()))
-        while len(self.segments) > 1 and self.segments[-2][1] < 2 * self.segments[-1][1]:
-            (a, n), (b, m) = self.segments[-2:]
-            both = self.spark.read.parquet(a).unionByName(self.spark.read.parquet(b)) if n and m else self.spark.read.parquet(a if n else b) if n + m else None
-            self.segments[-2:] = [(self._write(both) if both is not None else a, n + m)]
-            for old in {a, b} - {self.segments[-1][0]}:
+        level = lambda n: 0 if n < 1 else int(np.log(n) / np.log(FANOUT) + 0.5)
+        while len(self.segments) >= FANOUT and len({level(n) for _, n in self.segments[-FANOUT:]}) == 1:
+            merged, self.segments = self.segments[-FANOUT:], self.segments[:-FANOUT]
+            some = [p for p, n in merged if n]
+            if not some:
+                self.segments.append(merged[0])
+                break
+            both = reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in some])
+            self.segments.append((self._write(both), sum(n for _, n in merged)))
+            for old, _ in merged:
                 drop_path(self.spark, old)
 
     def search(self, batch: DataFrame, first_hits: int | None) -> DataFrame:
-        """``(doc, other, hits, open)``: chosen substrings of a batch's records found in other accepted records.
+        """``(doc, other, hits)``: chosen substrings of a batch's records found in other accepted records.
 
-        ``first_hits`` bounds the hits taken of one substring in one segment; ``open`` says that some were
-        left.  Segments include the batch itself when it was accepted before.
+        Of a substring with more than ``first_hits`` hits in one segment only that of least id is taken.  With a null
+        ``other``, ``hits`` is the number of the record's substrings of which some were left.  Segments include
+        the batch itself when it was accepted before.
         """
         paths = [path for path, n in self.segments if n]
 
@@ -159,7 +169,8 @@ class SuffixStore:
             import pyarrow.parquet as pq
 
             want, doc = table.column("key").to_numpy(), table.column("doc").to_numpy()
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            left_out = np.zeros(len(want), bool)
             for path in paths:
                 fs, base = pfs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
                 files = [f.path for f in fs.get_file_info(pfs.FileSelector(f"{base}/part={key[0].as_py()}", allow_not_found=True)) if f.path.endswith(".parquet")]
@@ -168,17 +179,20 @@ class SuffixStore:
                     keys, docs = segment.column("key").to_numpy(), segment.column("doc").to_numpy()
                     low, high = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
                     n = high - low
-                    more = np.zeros(len(n), bool) if first_hits is None else n > first_hits
-                    n = n if first_hits is None else np.minimum(n, first_hits)
+                    if first_hits is not None:
+                        left_out |= n > first_hits
+                        n = np.where(n > first_hits, 1, n)
                     row = np.repeat(np.arange(len(n)), n)
                     at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    found.append((doc[row], docs[at], more[row]))
-            d, o, m = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-            keep = d != o
-            return pa.table({"doc": pa.array(d[keep], pa.int64()), "other": pa.array(o[keep], pa.int64()), "open": pa.array(m[keep].astype(bool))})
+                    found.append((doc[row], docs[at]))
+            d, o = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            d, o = d[d != o], o[d != o]
+            cut = doc[left_out]
+            other = pa.concat_arrays([pa.array(o, pa.int64()), pa.nulls(len(cut), pa.int64())])
+            return pa.table({"doc": pa.array(np.concatenate((d, cut)), pa.int64()), "other": other})
 
-        hits = self._rows(batch).repartition(self.partitions, "part").groupBy("part").applyInArrow(look_up, "doc bigint, other bigint, open boolean")
-        return hits.groupBy("doc", "other").agg(F.count("*").alias("hits"), F.bool_or("open").alias("open"))
+        hits = self._rows(batch).repartition(self.partitions, "part").groupBy("part").applyInArrow(look_up, "doc bigint, other bigint")
+        return hits.groupBy("doc", "other").agg(F.count("*").alias("hits"))
 
 
 def _run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +207,9 @@ def _run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(doc, other)`` whose runs of three words have the Jaccard similarity; texts of these records only are read into sets."""
     ends = pairs.select("doc").union(pairs.select(F.col("other").alias("doc"))).distinct()
-    sets = materialize(docs.join(ends, "doc", "left_semi").select("doc", "text").mapInArrow(_run_sets, "doc bigint, runs array<bigint>"), "runs")
+    ends = materialize(ends, "ends")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    sets = materialize(docs.join(ends, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]).mapInArrow(_run_sets, "doc bigint, runs array<bigint>"), "runs")
     both = F.size(F.array_intersect("ra", "rb"))
     joined = pairs.join(sets.withColumnRenamed("runs", "ra"), "doc").join(sets.select(F.col("doc").alias("other"), F.col("runs").alias("rb")), "other")
     return joined.select("doc", "other", both.alias("both"), (F.size("ra") + F.size("rb")).alias("total")).where(F.col("both") >= similarity * (F.col("total") - F.col("both"))).select("doc", "other")
@@ -215,43 +231,47 @@ def duplicates(df: DataFrame, key: str = "doc_id", batch: str = "batch_no", text
     the suffix arrays, so many copies of a text cost no pairs.
     """
     spark = df.sparkSession
-    columns = [F.col(key).alias("doc"), F.coalesce(F.col(batch), F.lit(0)).cast("int").alias("batch"), F.col(text).alias("text"), F.col(content_hash).alias("hash"), F.col(path).alias("path")]
-    rows = df.where(F.col(key).isNotNull()).select(*columns).dropDuplicates(["doc"])
-    digest = F.when(F.length(F.regexp_replace("text", r"\s+", "")) > 0, F.xxhash64("text", F.lit(1)))
-    keys = materialize(rows.select("doc", "batch", digest.alias("t1"), F.md5("text").alias("t2"), clean_hash(F.col("hash")).alias("hash"), clean_path(F.col("path")).alias("path")), "keys")
-    same_text = _earlier(keys.where("t1 IS NOT NULL"), "t2").select("doc")
-    exact = same_text.union(_earlier(keys, "hash").select("doc")).distinct()
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.coalesce(F.col(batch), F.lit(0)).cast("int").alias("batch"), F.col(text).alias("text"), F.col(content_hash).alias("hash"), F.col(path).alias("path"))
+    digest = F.when(F.length(F.regexp_replace("text", r"\s+", "")) > 0, F.md5("text"))
+    keys = materialize(rows.select("doc", "batch", digest.alias("text_key"), F.md5("text").alias("any_text"), clean_hash(F.col("hash")).alias("hash"), clean_path(F.col("path")).alias("path")).dropDuplicates(["doc"]), "keys")
+    exact = _earlier(keys, "text_key").select("doc").union(_earlier(keys, "hash").select("doc")).distinct()
 
+    # texts are read where they lie, never shuffled: the index rows are small
     docs = rows.where("text IS NOT NULL").select("doc", "batch", "text")
-    indexed = materialize(suffix_rows(docs), "suffixes")
-    known = indexed.where("n_runs > 0").withColumn("rn", F.row_number().over(Window.partitionBy("digest").orderBy("batch", "doc")))
-    known = materialize(known.select("doc", "batch", "rn", F.size("keys").alias("n_keys"), F.col("keys")), "known")
-    equal = known.where("rn > 1").select("doc")
-    firsts = known.where("rn = 1")
-    total = firsts.agg(F.sum("n_keys")).first()[0] or 0
-    store = SuffixStore(spark, max(6, -(-total // PARTITION)))
-    batches = [r[0] for r in firsts.select("batch").distinct().orderBy("batch").collect()]
-    counts = firsts.select("doc", "batch", "n_keys")
+    by_batch = scratch_path(spark, "batches")
+    suffix_rows(docs).where("n_runs > 0").write.partitionBy("batch").parquet(by_batch)
+    indexed = spark.read.schema("doc bigint, digest binary, n_runs int, keys array<bigint>, batch int").parquet(by_batch)
+    by_set = Window.partitionBy("digest").orderBy("batch", "doc")
+    ordered = indexed.select("doc", "batch", "digest", F.size("keys").alias("n_keys")).withColumn("first_doc", F.first("doc").over(by_set)).withColumn("rn", F.row_number().over(by_set))
+    ordered = materialize(ordered.select("doc", "batch", "n_keys", "first_doc", "rn"), "sets")
+    equal = ordered.where("doc != first_doc").select("doc")
+    counts = ordered.where("rn = 1").select("doc", "batch", "n_keys")
+    totals = counts.groupBy("batch").agg(F.sum("n_keys").alias("n")).orderBy("batch").collect()  # one row a batch
+    store = SuffixStore(spark, max(6, -(-sum(r["n"] for r in totals) // PARTITION)))
+    # only the first record of a set goes into the arrays, so copies of a text cost no pairs
+    arrivals = indexed.join(counts, ["doc", "batch"], "left_semi").select("doc", "batch", "keys")
     found = None
-    for number in batches:
-        arrived = firsts.where(F.col("batch") == number)
-        store.accept(arrived.select("doc", "keys"))
-        if number < 1:
-            continue
-        hits = store.search(arrived, FIRST_HITS)
-        candidates = materialize(_covered(hits, counts), "candidates")
-        near = materialize(verify(candidates, docs, similarity), "near")
-        # records whose search left hits out and that nothing verified yet are searched in full
-        rest = hits.where("open").select("doc").distinct().join(near.select("doc").distinct(), "doc", "left_anti")
-        rest = materialize(rest, "rest")
+    for number in [r["batch"] for r in totals]:
+        # both sides are cut to the batch before they are joined
+        one = counts.where(F.col("batch") == number).select("doc")
+        arrived = indexed.where(F.col("batch") == number).select("doc", "keys").join(one, "doc", "left_semi")
+        store.accept(arrived)
+        if number >= 1:
+            hits = materialize(store.search(arrived, FIRST_HITS), "hits")
+            found = hits if found is None else found.unionByName(hits)
+    near = equal
+    if found is not None:
+        verified = materialize(verify(materialize(_covered(found, counts), "candidates"), docs, similarity), "near")
+        near = near.union(verified.select("doc"))
+        # a record all of whose shared substrings may be among those left out, and that nothing verified, is searched in full
+        left_out = found.where("other IS NULL").select("doc", F.col("hits").alias("n_left")).join(counts, "doc").where(F.col("n_left") >= COVERED * ALIKE * F.col("n_keys"))
+        rest = materialize(left_out.select("doc").distinct().join(verified.select("doc").distinct(), "doc", "left_anti"), "rest")
         if not rest.isEmpty():
-            full = _covered(store.search(arrived.join(rest, "doc", "left_semi"), None), counts)
-            near = near.unionByName(materialize(verify(full, docs, similarity), "near"))
-        found = near if found is None else found.unionByName(near)
-    near = equal if found is None else equal.union(found.select("doc"))
+            full = materialize(store.search(arrivals.join(rest, "doc", "left_semi").select("doc", "keys"), None), "hits")
+            near = near.union(verify(materialize(_covered(full, counts), "candidates"), docs, similarity).select("doc"))
     # the same file before, with another text: some earlier holder differs (all holders of one text are 'exact' anyway)
     by_path = Window.partitionBy("path").orderBy("batch", "doc").rowsBetween(Window.unboundedPreceding, -1)
-    text_key = F.coalesce("t2", F.concat(F.lit("null "), F.col("doc").cast("string")))
+    text_key = F.coalesce("any_text", F.concat(F.lit("null "), F.col("doc").cast("string")))
     moved = keys.where("path IS NOT NULL").withColumn("tk", text_key).withColumn("least", F.min("tk").over(by_path)).withColumn("most", F.max("tk").over(by_path))
     moved = moved.where("least IS NOT NULL AND (least != tk OR most != tk)").select("doc")
     kinds = exact.select("doc", F.lit(1).alias("k")).unionByName(near.select("doc", F.lit(2).alias("k"))).unionByName(moved.select("doc", F.lit(3).alias("k")))
@@ -260,8 +280,9 @@ def duplicates(df: DataFrame, key: str = "doc_id", batch: str = "batch_no", text
 
 
 def _covered(hits: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs with the later record first whose hits cover enough; pairs whose hits are known in part need one only."""
-    mine = counts.select("doc", F.col("batch").alias("ba"), F.col("n_keys").alias("na"))
+    """Pairs with the later record first whose hits cover enough, counting each substring with hits left out as one more."""
+    left_out = hits.where("other IS NULL").select("doc", F.col("hits").alias("n_left"))
+    mine = counts.select("doc", F.col("batch").alias("ba"), F.col("n_keys").alias("na")).join(left_out, "doc", "left")
     theirs = counts.select(F.col("doc").alias("other"), F.col("batch").alias("bb"), F.col("n_keys").alias("nb"))
-    joined = hits.join(mine, "doc").join(theirs, "other").where("bb < ba OR (bb = ba AND other < doc)")
-    return joined.where(F.col("open") | (F.col("hits") >= COVERED * F.least("na", "nb"))).select("doc", "other")
+    joined = hits.where("other IS NOT NULL").join(mine, "doc").join(theirs, "other").where("bb < ba OR (bb = ba AND other < doc)")
+    return joined.where(F.col("hits") + F.coalesce("n_left", F.lit(0)) >= COVERED * F.least("na", "nb")).select("doc", "other")
