@@ -25,8 +25,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Places of the permutations.  Larger sets saturate it, which only adds candidates.
 PLACES = 1 << 16
-#: A class of more equal texts is given as pairs of its representative and each other member.
+#: A group of more byte-equal texts is given as pairs of its least id and each other member.
 EXPAND = 64
+#: Members of a class that one task pairs with all others of the class.
+BLOCK = 4096
 #: Texts hashed together in a Python worker.
 GROUP = 512
 
@@ -60,7 +62,8 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches):
-            h, offsets = shingle_hashes(batch.column("text").to_pylist(), shingle)
+            texts = batch.column("text").to_pylist()
+            h, offsets = shingle_hashes(texts, shingle)
             some = np.flatnonzero(np.diff(offsets))
             if not len(some):
                 continue
@@ -75,12 +78,13 @@ def _sign(shingle: int, bands: int, rows: int):
                     key = mix(key * U64(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
                 keys[:, b] = key.view(np.int64)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in kept]
+            exact = [hashlib.blake2b(texts[i].encode(), digest_size=16).digest() for i in some]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("item").take(pa.array(some)), batch.column("id").take(pa.array(some)), pa.array(digests, pa.binary()),
+                    batch.column("item").take(pa.array(some)), batch.column("id").take(pa.array(some)), pa.array(exact, pa.binary()), pa.array(digests, pa.binary()),
                     pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel())),
                 ],
-                ["item", "id", "digest", "n", "bands"],
+                ["item", "id", "exact", "digest", "n", "bands"],
             )
 
     return run
@@ -121,16 +125,16 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 class NearDuplicates:
     """Near-duplicates among the rows of ``(item, id, text)``; different items are not compared.
 
-    ``members``: ``(item, id, cls)``, every text by its class of equal sets.  ``links``: ``(item, a, b,
+    ``members``: ``(item, id, cls, exact)``, every text by its class of equal sets and a digest of its bytes.  ``links``: ``(item, a, b,
     similarity)``, verified pairs of classes with a < b.  Texts shorter than one run have no set and are in
     neither.  Repeated rows count once; empty input gives empty tables.  A class is named by 64 bits of
     a 128-bit digest of its set.
     """
 
     def __init__(self, rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS):
-        signed = materialize(rows.mapInArrow(_sign(shingle, bands, rows_per_band), "item string, id string, digest binary, n int, bands array<bigint>"), "signatures")
+        signed = materialize(rows.mapInArrow(_sign(shingle, bands, rows_per_band), "item string, id string, exact binary, digest binary, n int, bands array<bigint>"), "signatures")
         cls = F.xxhash64("digest").alias("cls")
-        self.members = signed.select("item", "id", cls).distinct()
+        self.members = signed.groupBy("item", "id", cls).agg(F.min("exact").alias("exact"))
         firsts = signed.groupBy("item", cls).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
         self.firsts = materialize(firsts, "classes")
         buckets = self.firsts.select("item", "cls", "n", F.explode("bands").alias("key"))
@@ -147,16 +151,20 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """``(item, id_a, id_b)`` with id_a < id_b: all pairs of similar texts.
 
-        Classes of up to ``EXPAND`` equal texts are written out; a larger one appears as its least id paired
-        with every other member, and is linked to other classes through that id, so no text is lost.
+        Texts of one class may differ in case, punctuation or layout: all pairs between different texts are given,
+        within a class and between linked ones, and those of up to ``EXPAND`` byte-equal texts.  A larger group of
+        byte-equal texts appears as its least id paired with every other member and stands in all other pairs by that id.
         """
-        size = self.members.groupBy("item", "cls").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-        members = self.members.join(size.where("size > 1 "), ["item", "cls"], "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        shown = members.where((F.col("size") <= EXPAND) | (F.col("id") == F.col("first"))).select("item", "cls", "id")
-        grouped = members.where("size > 1")
-        small = grouped.where(F.col("size") <= EXPAND).select("item", "cls", "id")
-        inside = small.select("item", "cls", F.col("id").alias("x")).join(small.select("item", "cls", F.col("id").alias("y")), ["item", "cls"]).where("x < y").select("item", "x", "y")
-        star = grouped.where((F.col("size") > EXPAND) & (F.col("id") != F.col("first"))).select("item", F.col("first").alias("x"), F.col("id").alias("y"))
+        copies = self.members.groupBy("item", "cls", "exact").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+        members = self.members.join(copies.where("copies > 1"), ["item", "cls", "exact"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        shown = members.where((F.col("copies") <= EXPAND) | (F.col("id") == F.col("first"))).select("item", "cls", "id")
+        size = shown.groupBy("item", "cls").agg(F.count("*").alias("size")).where("size > 1")
+        grouped = shown.join(size, ["item", "cls"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        # a large class is paired by several tasks: each takes a part of its members on one side
+        left = grouped.select("item", "cls", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("x"))
+        right = grouped.select("item", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"))
+        inside = left.join(right, ["item", "cls", "block"]).where("x < y").select("item", "x", "y")
+        star = members.where((F.col("copies") > EXPAND) & (F.col("id") != F.col("first"))).select("item", F.col("first").alias("x"), F.col("id").alias("y"))
         across = self.links.join(shown.select("item", F.col("cls").alias("a"), F.col("id").alias("x")), ["item", "a"]).join(shown.select("item", F.col("cls").alias("b"), F.col("id").alias("y")), ["item", "b"]).select("item", "x", "y")
         every = inside.unionByName(star).unionByName(across)
         return every.select("item", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -81,6 +81,17 @@ def test_many_copies_stay_linear(spark):
     assert pairs == {("000", i) for i, _ in rows[1:]}
 
 
+def test_many_variants_of_one_text_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    words_of = "one notice in very many kinds of letter case".split()
+    n = neardup.EXPAND + 6
+    kinds = [" ".join(w.upper() if i >> k & 1 else w for k, w in enumerate(words_of)) for i in range(n)]
+    rows = [(f"{i:03}", t) for i, t in enumerate(kinds)] + [("yy", kinds[3]), ("zz", kinds[0] + " again")]
+    found = neardup.NearDuplicates(neardup.texts(spark.createDataFrame(rows, "id string, text string"), "document", "id", "text"), 3, 0.7)
+    pairs = [(r.id_a, r.id_b) for r in found.pairs().collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, 3, 0.7)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id string, text string")
     found = neardup.NearDuplicates(neardup.texts(empty, "document", "id", "text"))
