@@ -32,9 +32,8 @@ DEPTH, WINDOW = 8, 8
 DENSE, SHORT = 64, 24
 #: A substring with more hits in one segment gives the one of least id in the first search; records that this leaves open are searched without it.
 FIRST_HITS = 4
-#: Share of the fewer chosen substrings of two records that must match before they are verified, and the least part of a
-#: record's count that a near copy's count can be.
-COVERED, ALIKE = 0.2, 0.5
+#: Share of the fewer chosen substrings of two records that must match before they are verified.
+COVERED = 0.2
 #: Segments of like size that are merged to one, and the ids up to which a set of records is broadcast after counting it.
 FANOUT, BROADCAST_IDS = 4, 500_000
 #: Suffixes of a range partition at which the number of partitions is set.
@@ -242,10 +241,10 @@ def duplicates(df: DataFrame, key: str = "doc_id", batch: str = "batch_no", text
     suffix_rows(docs).where("n_runs > 0").write.partitionBy("batch").parquet(by_batch)
     indexed = spark.read.schema("doc bigint, digest binary, n_runs int, keys array<bigint>, batch int").parquet(by_batch)
     by_set = Window.partitionBy("digest").orderBy("batch", "doc")
-    ordered = indexed.select("doc", "batch", "digest", F.size("keys").alias("n_keys")).withColumn("first_doc", F.first("doc").over(by_set)).withColumn("rn", F.row_number().over(by_set))
-    ordered = materialize(ordered.select("doc", "batch", "n_keys", "first_doc", "rn"), "sets")
+    ordered = indexed.select("doc", "batch", "digest", "n_runs", F.size("keys").alias("n_keys")).withColumn("first_doc", F.first("doc").over(by_set)).withColumn("rn", F.row_number().over(by_set))
+    ordered = materialize(ordered.select("doc", "batch", "n_runs", "n_keys", "first_doc", "rn"), "sets")
     equal = ordered.where("doc != first_doc").select("doc")
-    counts = ordered.where("rn = 1").select("doc", "batch", "n_keys")
+    counts = ordered.where("rn = 1").select("doc", "batch", "n_runs", "n_keys")
     totals = counts.groupBy("batch").agg(F.sum("n_keys").alias("n")).orderBy("batch").collect()  # one row a batch
     store = SuffixStore(spark, max(6, -(-sum(r["n"] for r in totals) // PARTITION)))
     # only the first record of a set goes into the arrays, so copies of a text cost no pairs
@@ -264,7 +263,7 @@ def duplicates(df: DataFrame, key: str = "doc_id", batch: str = "batch_no", text
         verified = materialize(verify(materialize(_covered(found, counts), "candidates"), docs, similarity), "near")
         near = near.union(verified.select("doc"))
         # a record all of whose shared substrings may be among those left out, and that nothing verified, is searched in full
-        left_out = found.where("other IS NULL").select("doc", F.col("hits").alias("n_left")).join(counts, "doc").where(F.col("n_left") >= COVERED * ALIKE * F.col("n_keys"))
+        left_out = found.where("other IS NULL").select("doc", F.col("hits").alias("n_left")).join(_least_keys(counts, similarity), "doc").where(F.col("n_left") >= COVERED * F.col("least_keys"))
         rest = materialize(left_out.select("doc").distinct().join(verified.select("doc").distinct(), "doc", "left_anti"), "rest")
         if not rest.isEmpty():
             full = materialize(store.search(arrivals.join(rest, "doc", "left_semi").select("doc", "keys"), None), "hits")
@@ -279,6 +278,19 @@ def duplicates(df: DataFrame, key: str = "doc_id", batch: str = "batch_no", text
     return kinds.join(late, "doc", "left_semi").groupBy("doc").agg(F.min("k").alias("k")).select("doc", F.element_at(F.array(*[F.lit(x) for x in ("exact", "near", "path")]), F.col("k")).alias("dup_kind"))
 
 
+def _least_keys(counts: DataFrame, similarity: float) -> DataFrame:
+    """``(doc, least_keys)``: the fewest chosen substrings of any record whose number of runs lets it be similar to this one.
+
+    Similar sets differ in size by a factor of ``1 / similarity`` at most, so they lie in the same class of sizes
+    or in neighbouring ones; the classes are a little wider than that factor.
+    """
+    size = F.floor(F.log("n_runs") / float(np.log(1.01 / similarity))).cast("int")
+    sized = counts.select("doc", "n_keys", size.alias("size"))
+    # one row a class of sizes
+    least = sized.select(F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), "n_keys").groupBy("size").agg(F.min("n_keys").alias("least_keys"))
+    return sized.join(F.broadcast(least), "size").select("doc", "least_keys")
+
+
 def _covered(hits: DataFrame, counts: DataFrame) -> DataFrame:
     """Pairs with the later record first whose hits cover enough, counting each substring with hits left out as one more."""
     left_out = hits.where("other IS NULL").select("doc", F.col("hits").alias("n_left"))

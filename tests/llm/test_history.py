@@ -26,6 +26,27 @@ def test_batches_against_history(spark, monkeypatch):
     assert history.duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copy_with_fewer_keys_behind_common_phrases(spark):
+    from rivulet.llm.text import word_hashes
+
+    # 63 words keep every key, 66 words few; the shared ones are all phrases of six earlier records
+    # edits near both ends, as the keys chosen there depend on the neighbouring texts
+    rng = np.random.default_rng(103)
+    old = [f"w{i}" for i in rng.integers(0, 5000, 66)]
+    new = old[:63]
+    for at in (7, int(rng.integers(20, 46)), 58):
+        new[at] = f"edit{at}"
+    keys, owner = history.chosen_suffixes(*word_hashes([" ".join(old), " ".join(new)]))
+    shared = set(keys[owner == 0]) & set(keys[owner == 1])
+    assert history.COVERED * (owner == 0).sum() <= len(shared) < 0.1 * (owner == 1).sum()
+    phrases = [p for i in range(len(old) - 7) for p in [old[i : i + 8]] if set(history.chosen_suffixes(*word_hashes([" ".join(p)]))[0]) & shared]
+    assert len(phrases) == len(shared)
+    rows = [(d, 0, " ".join(w for k, p in enumerate(phrases) for w in [*p, f"fill{d}x{k}"]), None, None) for d in range(6)]
+    rows += [(10, 0, " ".join(old), None, None), (20, 1, " ".join(new), None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, batch_no int, text string, content_hash string, source_path string")
+    assert {r.doc: r.dup_kind for r in history.duplicates(df).collect()} == {20: "near"}
+
+
 def test_hot_group_of_edited_copies(spark):
     rng = np.random.default_rng(6)
     word = [f"w{i}" for i in range(300)]
