@@ -96,7 +96,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest chunks of every usable chunk vector."""
     index = vectors.VectorIndex(vectors.usable(table(spark, sf_dir, "chunks").select("id", "embedding"), "id", "embedding", 64), 64)
-    return index.search(probes=6).select("id_a", "id_b", F.round("similarity", 5).alias("similarity"), "rank")
+    return index.search(probes=max(12, index.n_lists // 32)).select("id_a", "id_b", F.round("similarity", 5).alias("similarity"), "rank")
 
 
 @query

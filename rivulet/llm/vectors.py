@@ -224,6 +224,10 @@ class VectorIndex:
                     i = np.repeat(np.arange(len(q)), keep)
                 exact = np.einsum("nd,nd->n", q[i].astype(np.float64), held_x[d].astype(np.float64))
                 good = exact >= at_least
+                if at_least <= -1 and keep > k + 1:
+                    # only the k + 1 best of a block, with ties, can be among the k + 1 best of all
+                    table = exact.reshape(len(q), keep)
+                    good &= (table >= np.partition(table, keep - k - 1, axis=1)[:, keep - k - 1 : keep - k]).ravel()
                 for column, values in zip(out, (ids[0][at + i], ids[1][at + i], ids[2][d], ids[3][d], exact)):
                     column.append(values[good])
             return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, types)], names)

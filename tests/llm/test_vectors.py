@@ -51,6 +51,20 @@ def test_many_equal_vectors_and_empty(spark):
     assert none.search().count() == 0
 
 
+def test_topk_recall_on_the_smallest_table(spark):
+    from rivulet.llm import queries
+    from rivulet.sources.tables import table
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = vectors.usable(table(spark, sf_dir, "chunks").select("id", "embedding"), "id", "embedding", 64).collect()
+    x = vectors._unit(np.array([r.v for r in rows], np.float32)).astype(np.float64)
+    s = np.round(x @ x.T, 5)
+    np.fill_diagonal(s, -2)
+    least = {r.id: np.sort(row)[-10] for r, row in zip(rows, s)}
+    found = queries.p5_topk(spark, sf_dir).collect()
+    assert sum(r.similarity >= least[r.id_a] - 2e-5 for r in found) >= 0.9 * 10 * len(rows)
+
+
 def test_beam_search_beats_greedy():
     x = vectors._unit(clustered(400))
     codec = vectors.train(x, 4, codebooks=3, words=32)
