@@ -2,12 +2,12 @@ r"""Deduplicating new batches against all history (problem 6).
 
 Three kinds of earlier copies are told apart: the same text or content hash ('exact'), a text of high
 shingle similarity ('near') and another text of the same file ('path').  Hashes, paths and digests are
-keys; near copies are sought in suffix arrays.
+keys; near copies are sought by fingerprints.
 
-A batch's texts, concatenated, give one immutable suffix array: its suffixes begin at words chosen by
-content (the least hash of each window), are ordered by their first eight words and are stored by range
-partition on the shared folder.  A new batch looks its own chosen substrings up by binary search in every
-segment, which reads the index and no text of the history.  The hits of each pair of records are
+A batch's texts give one immutable segment: fixed keys of eight words that begin at words chosen by content
+(the least hash of each window), stored by hash partition and sorted there on the shared folder.  A new batch
+looks its own keys up by binary search in every segment, which reads the index and no text of the history.
+Matches are not lengthened; coverage counts keys.  The hits of each pair of records are
 aggregated to the share covered, and pairs covered enough are verified with the exact similarity.
 Segments of like size are merged, so there are logarithmically many.
 """
