@@ -38,7 +38,7 @@ SMALL = 32
 #: Share of a record's words that must be covered before a pair is verified.
 COVERED = 0.2
 #: Hits of a suffix in one segment that are taken at once.  Records that stay unconfirmed while suffixes of theirs had more are searched in full.
-AT_ONCE = 64
+AT_ONCE = 1024
 #: Segments of like size that are merged to one, ids up to which a set of records is broadcast after counting it, and pairs a task holds at a time.
 FANOUT, BROADCAST_IDS, BLOCK = 4, 500_000, 1 << 21
 #: Suffixes of a range, at which the number of ranges is set, and suffixes drawn to place the ranges (only their bounds depend on it).
@@ -98,7 +98,7 @@ def encode(rows: DataFrame) -> DataFrame:
     ``version`` tells texts apart; a null text differs from every other.  This is the only pass over the texts.
     """
     md5 = lambda c: F.unhex(F.md5(c))
-    text_key = F.when(F.length(F.regexp_replace("text", r"\s+", "")) > 0, md5(F.col("text")))
+    text_key = F.when(F.col("text").rlike(r"\S"), md5(F.col("text")))
     version = F.when(F.col("text").isNull(), F.xxhash64(F.lit("null"), "doc")).otherwise(F.xxhash64("text"))
     keyed = rows.select("doc", "batch", text_key.alias("text_key"), md5(clean_hash(F.col("hash"))).alias("hash_key"), md5(clean_path(F.col("path"))).alias("path_key"), version.alias("version"), "text")
     return keyed.mapInArrow(_encode, _ENCODED)
@@ -286,7 +286,7 @@ class SuffixStore:
         self.version, self.bounds = 0, None
         self.texts: list[str] = []
         self.keys: list[str] = []
-        self.segments: list[tuple[str, int]] = []  # folder, suffixes
+        self.segments: list[tuple[str, int]] = []  # folder, words
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> SuffixStore:
@@ -312,37 +312,39 @@ class SuffixStore:
         encode(rows.withColumn("batch", F.lit(self.version))).write.option("compression", "zstd").parquet(path)
         return self.add_encoded(path)
 
-    def add_encoded(self, path: str) -> DataFrame:
-        """``add`` for a batch that ``encode`` has written to ``path``, which belongs to the store from now on."""
+    def add_encoded(self, path: str, tell: bool = True) -> DataFrame | None:
+        """``add`` for a batch that ``encode`` has written to ``path``, which belongs to the store from now on.
+
+        A batch that was accepted elsewhere (the history a store begins with) need not be told its duplicates.
+        """
         spark = self.spark
         schema = ", ".join(c for c in _ENCODED.split(", ") if not c.startswith("batch "))
         batch = spark.read.schema(schema).parquet(path)
-        flags = self._repeated(batch)
+        size = batch.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("codes")) / 4, F.lit(0.0)).alias("words")).first()
+        small = 4 * size["rows"] <= BROADCAST_IDS  # no set of records or keys of this batch is larger
+        flags = self._repeated(batch, small)
         equal = flags.where("equal").select("doc")
-        few = flags.count() <= BROADCAST_IDS
         # of records with equal sets only the first goes into the arrays, so many copies of a text cost no pairs
-        fresh = batch.where("n_runs > 0").select("doc", "n_runs", "codes").join(F.broadcast(equal) if few else equal, "doc", "left_anti")
-        segment, n = self._write_segment(fresh)
+        fresh = batch.where("n_runs > 0").select("doc", "n_runs", "codes").join(F.broadcast(equal) if small else equal, "doc", "left_anti")
+        if self.bounds is None:
+            self._place(fresh, size["words"])
+        segment = self._write(fresh.mapInArrow(_suffix_rows(self.similarity, self.bounds), _SUFFIX), str(self.version))
         self.texts.append(path)
-        near = None
-        if n:
-            near = self._near(segment, [*((p, False) for p, _ in self.segments), (segment, True)])
-            self.segments.append((segment, n))
-        kinds = flags.select("doc", F.when(F.col("exact"), 1).when(F.col("equal"), 2).when(F.col("moved"), 3).alias("k"))
-        if near is not None:
-            kinds = kinds.unionByName(near.select("doc", F.lit(2).alias("k")))
+        near = self._near(segment, [*((p, False) for p, _ in self.segments), (segment, True)], small) if tell else None
+        self.segments.append((segment, int(size["words"])))
         named = F.element_at(F.array(*[F.lit(x) for x in ("exact", "near", "path")]), F.col("k"))
-        out = materialize(kinds.where("k IS NOT NULL").groupBy("doc").agg(F.min("k").alias("k")).select("doc", named.alias("dup_kind")), "duplicates")
-        release(flags, near)
         replaced = self._merge()
         self.version += 1
         self._publish()
         for old in replaced:
             drop_path(spark, old)
         free_shuffles(spark)
-        return out
+        if not tell:
+            return release(flags)
+        kinds = flags.select("doc", F.when(F.col("exact"), 1).when(F.col("equal"), 2).otherwise(3).alias("k")).unionByName(near.select("doc", F.lit(2).alias("k")))
+        return kinds.groupBy("doc").agg(F.min("k").alias("k")).select("doc", named.alias("dup_kind"))
 
-    def _repeated(self, batch: DataFrame) -> DataFrame:
+    def _repeated(self, batch: DataFrame, small: bool) -> DataFrame:
         """``(doc, exact, equal, moved)`` by keys alone; the batch's keys join the key tables.
 
         For each key the least earlier record is enough, and for a path also the least whose text is another one, so a key that
@@ -360,8 +362,7 @@ class SuffixStore:
         known = firsts
         if self.keys:
             asked = firsts.select("kind", "key").distinct()
-            asked = F.broadcast(asked) if firsts.count() <= BROADCAST_IDS else asked
-            old = spark.read.schema(schema).parquet(*self.keys).join(asked, ["kind", "key"], "left_semi")
+            old = spark.read.schema(schema).parquet(*self.keys).join(F.broadcast(asked) if small else asked, ["kind", "key"], "left_semi")
             known = known.unionByName(old.withColumn("doc", F.lit(-(1 << 63)).cast("bigint")))
         self.keys.append(path)
         least = known.groupBy("kind", "key").agg(F.min(F.struct("doc", "version")).alias("first"))
@@ -373,9 +374,8 @@ class SuffixStore:
         flags = seen.groupBy("doc").agg(F.bool_or((is_kind("t") | is_kind("h")) & before).alias("exact"), F.bool_or(is_kind("s") & before).alias("equal"), F.bool_or(is_kind("p") & moved).alias("moved"))
         return materialize(flags.where("exact OR equal OR moved"), "flags")
 
-    def _place(self, fresh: DataFrame) -> None:
+    def _place(self, fresh: DataFrame, n: float) -> None:
         """Set the ranges, once, by the quantiles of a drawn part of the first batch; where they lie does not change any result."""
-        n = fresh.agg(F.sum(F.length("codes")) / 4).first()[0] or 0
         drawn = fresh.sample(fraction=min(1.0, DRAWN / max(1.0, n * 0.3)), seed=6).select("doc", "n_runs", "codes").mapInArrow(_suffix_rows(self.similarity, None), _SUFFIX).select("part", "key").limit(2 * DRAWN).toArrow()
         part, key = drawn.column("part").to_numpy(), drawn.column("key").to_numpy()
         bounds = []
@@ -389,15 +389,10 @@ class SuffixStore:
     def parts(self) -> int:
         return len(self.bounds[0]) + len(self.bounds[1]) + 2
 
-    def _write(self, rows: DataFrame, name: str) -> tuple[str, int]:
+    def _write(self, rows: DataFrame, name: str) -> str:
         path = f"{self.folder}/segments/{name}"
         rows.repartition(self.parts, "part").sortWithinPartitions("part", "key", "n_runs", "doc").write.option("compression", "zstd").partitionBy("part").parquet(path)
-        return path, self.spark.read.schema("doc bigint").parquet(path).count()
-
-    def _write_segment(self, fresh: DataFrame) -> tuple[str, int]:
-        if self.bounds is None:
-            self._place(fresh)
-        return self._write(fresh.mapInArrow(_suffix_rows(self.similarity, self.bounds), _SUFFIX), str(self.version))
+        return path
 
     def _search(self, asked: str, segments: list[tuple[str, bool]], at_once: int | None, shares: int = 1) -> DataFrame:
         """``(doc, n_runs, other, words)``: words of the asked records covered by matches with others."""
@@ -405,7 +400,7 @@ class SuffixStore:
         found = ranges.mapInArrow(_look_up(asked, segments, len(self.bounds[0]) + 1, self.similarity, at_once, shares), "doc bigint, n_runs int, other bigint, words int")
         return found.groupBy("doc", "n_runs", "other").agg(F.sum("words").alias("words"))
 
-    def _near(self, segment: str, segments: list[tuple[str, bool]]) -> DataFrame:
+    def _near(self, segment: str, segments: list[tuple[str, bool]], small: bool) -> DataFrame:
         """``(doc)`` of the records of a segment that are similar to an earlier one."""
         spark = self.spark
         needed = F.when(F.col("n_runs") < SMALL, F.col("n_runs") * (self.similarity - 0.02)).otherwise(F.col("n_runs") * COVERED)
@@ -414,38 +409,39 @@ class SuffixStore:
         # a record may have a partner behind suffixes with too many hits, if these and its best match seen would cover enough
         seen = hits.groupBy("doc", "n_runs").agg(F.sum(F.when(F.col("other").isNull(), F.col("words"))).alias("behind"), F.max(F.when(F.col("other").isNotNull(), F.col("words"))).alias("best"))
         rest = seen.where(F.col("behind").isNotNull() & (F.col("behind") + F.coalesce("best", F.lit(0)) >= needed)).select("doc")
-        rest = materialize(rest.join(verified, "doc", "left_anti"), "rest")
-        found, n = verified, rest.count()
-        if n:
-            again, _ = self._write(spark.read.schema(_SUFFIX).parquet(segment).join(F.broadcast(rest) if n <= BROADCAST_IDS else rest, "doc", "left_semi"), f"rest-{self.version}")
+        rest = rest.join(verified, "doc", "left_anti")
+        found = verified
+        if not rest.isEmpty():
+            rest = materialize(rest, "rest")
+            again = self._write(spark.read.schema(_SUFFIX).parquet(segment).join(F.broadcast(rest) if small else rest, "doc", "left_semi"), f"rest-{self.version}")
             full = materialize(self._search(again, segments, None, shares=4), "hits")
             more = self._verify(full.where(F.col("words") >= needed).select("doc", "other"))
             found = materialize(verified.union(more).distinct(), "near")
-            release(full, more, verified)
+            release(rest, full, more, verified)
             drop_path(spark, again)
-        release(hits, rest)
+        release(hits)
         return found
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """``(doc)`` of the pairs ``(doc, other)`` that have the similarity, by the stored codes of these records only."""
         spark = self.spark
         pairs = materialize(pairs, "candidates")
-        ends = materialize(pairs.select("doc").union(pairs.select("other")).distinct(), "ends")
+        ends = pairs.select("doc").union(pairs.select("other")).distinct()
         codes = spark.read.schema("doc bigint, codes binary").parquet(*self.texts)
-        codes = materialize(codes.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "doc", "left_semi").dropDuplicates(["doc"]), "codes")
+        codes = materialize(codes.join(F.broadcast(ends) if 2 * pairs.count() <= BROADCAST_IDS else ends, "doc", "left_semi").dropDuplicates(["doc"]), "codes")
         joined = pairs.join(codes.withColumnRenamed("codes", "a"), "doc").join(codes.select(F.col("doc").alias("other"), F.col("codes").alias("b")), "other")
         out = materialize(joined.select("doc", "other", "a", "b").mapInArrow(_similar(self.similarity), "doc bigint, other bigint").select("doc").distinct(), "near")
-        release(pairs, ends, codes)
+        release(pairs, codes)
         return out
 
     def _merge(self) -> list[str]:
         """Merge the last segments while they are of like size; the folders that are not needed any more."""
-        level = lambda n: int(np.log(n) / np.log(FANOUT) + 0.5)
+        level = lambda n: int(np.log(max(n, 1)) / np.log(FANOUT) + 0.5)
         gone: list[str] = []
         while len(self.segments) >= FANOUT and len({level(n) for _, n in self.segments[-FANOUT:]}) == 1:
             merged, self.segments = self.segments[-FANOUT:], self.segments[:-FANOUT]
             both = reduce(DataFrame.unionByName, [self.spark.read.schema(_SUFFIX).parquet(p) for p, _ in merged])
-            self.segments.append(self._write(both, f"{self.version}-merged-{len(gone)}"))
+            self.segments.append((self._write(both, f"{self.version}-merged-{len(gone)}"), sum(n for _, n in merged)))
             gone += [p for p, _ in merged]
         return gone
 
@@ -468,8 +464,8 @@ def duplicates(df: DataFrame, key: str = "doc_id", batch: str = "batch_no", text
     numbers = sorted(r["batch"] for r in spark.read.schema("batch int").parquet(staged).distinct().collect()) if not rows.isEmpty() else []  # one row a batch
     out = None
     for number in numbers:
-        found = store.add_encoded(f"{staged}/batch={number}")
-        if number >= 1:
+        found = store.add_encoded(f"{staged}/batch={number}", tell=number >= 1)
+        if found is not None:
             out = found if out is None else out.unionByName(found)
     store.drop()
     return out if out is not None else spark.createDataFrame([], "doc bigint, dup_kind string")
