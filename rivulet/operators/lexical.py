@@ -1,47 +1,136 @@
 """Lexical index and BM25 search of a batch of queries.
 
-The index is three tables: ``postings(term, chunk_id, tf)``, ``doc_len(chunk_id, dl)`` and
-``term_stats(term, df, idf)``.  Statistics always cover the whole index, whatever a search filters.
+The index is two tables: ``postings(term, chunk_id, tf, dl)`` and ``term_stats(term, df, idf)``, with one row of
+corpus figures.  Statistics always cover the whole index, whatever a search filters.  An index is kept on the shared folder
+as an immutable version; a manifest written last names it, so a reader sees a whole version or the one before.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import tokenize
-from rivulet.session import materialize
+from rivulet.session import drop_path, materialize, write_text
 
 #: Fixed values of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks that one task scores together, queries that it takes together, and least number of chunk blocks.
+CHUNK_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 65_536, 8_192, 8
+#: Postings of a term in a block from which on it is worth to look chunks up instead of adding the whole list.
+LONG_LIST = 2_048
 
 
 @dataclass
 class LexicalIndex:
+    """``postings(term, chunk_id, tf, dl)``, ``doc_len(chunk_id, dl)``, ``term_stats(term, df, idf)`` and ``corpus(n_chunks, total_len, avg_len)``."""
+
     postings: DataFrame
     doc_len: DataFrame
     term_stats: DataFrame
-    corpus: DataFrame  # one row: n_chunks, total_len, avg_len
+    corpus: DataFrame  # one row
+
+    def save(self, folder: str) -> None:
+        """Write the next version to ``folder``; older versions stay readable until ``drop_versions``."""
+        spark = self.postings.sparkSession
+        version = _latest(spark, folder) + 1
+        for name in _TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
+        write_text(spark, f"{folder}/manifest-{version}", json.dumps({"version": version, "schemas": {n: getattr(self, n).schema.json() for n in _TABLES}}))
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LexicalIndex:
+        """The latest whole version in ``folder``."""
+        version = _latest(spark, folder)
+        if version < 0:
+            raise FileNotFoundError(f"no index in {folder}")
+        return cls(*[spark.read.parquet(f"{folder}/v{version}/{name}") for name in _TABLES])
+
+
+_TABLES = ("postings", "doc_len", "term_stats", "corpus")
+
+
+def _files(spark: SparkSession, pattern: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
+def _latest(spark: SparkSession, folder: str) -> int:
+    return max((int(f.getPath().getName().split("-")[1]) for f in _files(spark, f"{folder}/manifest-*[0-9]")), default=-1)
+
+
+def drop_versions(spark: SparkSession, folder: str) -> None:
+    """Delete every version but the latest."""
+    last = _latest(spark, folder)
+    for n in range(last):
+        drop_path(spark, f"{folder}/manifest-{n}")
+        drop_path(spark, f"{folder}/v{n}")
+
+
+def _statistics(postings: DataFrame, doc_len: DataFrame) -> tuple[DataFrame, DataFrame]:
+    corpus = doc_len.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"), F.avg("dl").alias("avg_len"))
+    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n_chunks"))).select("term", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    # common terms would count negatively; they get a share of the mean over all terms
+    stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return corpus, stats
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text", persist: bool = True) -> LexicalIndex:
     """Index of ``(key, text)``, one row a key.  Null texts are left out; blank ones count as chunks without terms.
 
-    With ``persist`` the postings are written once, so that statistics and every search read them.
+    With ``persist`` the tables are written once, so that statistics and every search read them.
     """
     words = chunks.where(F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), tokenize(F.col(text)).alias("words"))
     doc_len = words.select("chunk_id", F.size("words").cast("bigint").alias("dl"))
-    postings = words.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    postings = words.select("chunk_id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
     if persist:
-        doc_len, postings = materialize(doc_len, "doc-len"), materialize(postings.repartition("term"), "postings")
-    corpus = doc_len.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"), F.avg("dl").alias("avg_len"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n_chunks"))).select("term", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    # common terms would count negatively; they get a share of the mean over all terms
-    stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, doc_len, materialize(stats, "term-stats") if persist else stats, corpus)
+        doc_len, postings = materialize(doc_len, "doc-len"), materialize(postings, "postings")
+    corpus, stats = _statistics(postings, doc_len)
+    if persist:
+        corpus, stats = materialize(corpus, "corpus"), materialize(stats, "term-stats")
+    return LexicalIndex(postings, doc_len, stats, corpus)
+
+
+_OPEN: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def open_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> LexicalIndex:
+    """The index of ``chunks``, built once for the files they come from as these are now, then reused by every search of the application.
+
+    The files' paths, sizes and times of change name it, and the plan that reads them; without files it is built anew.
+    """
+    spark = chunks.sparkSession
+    status = [f for name in chunks.inputFiles() for f in _files(spark, name)]
+    if not status:
+        return build_index(chunks, key, text)
+    named = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in status)
+    name = (spark.sparkContext.applicationId, json.dumps([key, text, chunks.semanticHash(), named]))
+    if name not in _OPEN:
+        _OPEN[name] = build_index(chunks, key, text)
+    return _OPEN[name]
+
+
+def without(index: LexicalIndex, gone: DataFrame) -> LexicalIndex:
+    """The index without the chunks ``(chunk_id)``: their rows leave, statistics are made anew; no text is read."""
+    gone = gone.select("chunk_id").distinct()
+    postings, doc_len = index.postings.join(gone, "chunk_id", "left_anti").select("term", "chunk_id", "tf", "dl"), index.doc_len.join(gone, "chunk_id", "left_anti")
+    corpus, stats = _statistics(postings, doc_len)
+    return LexicalIndex(postings, doc_len, stats, corpus)
+
+
+def with_added(index: LexicalIndex, chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> LexicalIndex:
+    """The index with ``(key, text)`` added; a chunk it holds already is replaced.  Only the new texts are read."""
+    new = build_index(chunks, key, text, persist=False)
+    old = without(index, chunks.select(F.col(key).alias("chunk_id")))
+    postings, doc_len = old.postings.unionByName(new.postings), old.doc_len.unionByName(new.doc_len)
+    corpus, stats = _statistics(postings, doc_len)
+    return LexicalIndex(postings, doc_len, stats, corpus)
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -49,20 +138,104 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
     return queries.select(F.col(key).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def _weights(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """``(term, chunk_id, w)``: weights of the asked terms' postings."""
+    asked = terms.select("term").distinct().join(index.term_stats.select("term", "idf"), "term")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
+    return index.postings.join(asked, "term").crossJoin(F.broadcast(index.corpus.select("avg_len"))).select("term", "chunk_id", weight.alias("w"))
+
+
 def bm25_scores(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, score)``, rounded to six places, of all chunks that score above zero.
 
-    Weights that depend on the chunk are worked out on the postings of the asked terms, before they meet the
-    queries; partial sums leave the join already combined.
+    This is every scored pair; ``search`` gives the best of each query without making them.
     """
-    asked = terms.select("term").distinct()
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    used = index.postings.join(asked, "term", "left_semi").join(index.term_stats.select("term", "idf"), "term").join(index.doc_len, "chunk_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
-    weighted = used.select("term", "chunk_id", weight.alias("w"))
-    scored = weighted.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    scored = _weights(index, terms).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
     return scored.where("score > 0")
 
 
+def block_best(starts: np.ndarray, chunk: np.ndarray, weight: np.ndarray, lists: np.ndarray, qtf: np.ndarray, n_chunks: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of a block that can be among a query's k best, with their scores; exact for every chunk given.
+
+    Postings of list ``t`` are ``starts[t]`` to ``starts[t + 1]``, by chunk.  Lists are added from short to long.  Once the bound of all
+    that is left, its largest weights, is below the k-th score so far, no other chunk can come in: only those in reach are looked up.
+    """
+    size = starts[lists + 1] - starts[lists]
+    order = np.argsort(size, kind="stable")
+    lists, qtf, size = lists[order], qtf[order], size[order]
+    bound = np.array([weight[starts[t] : starts[t + 1]].max(initial=0.0) * q for t, q in zip(lists, qtf)])
+    left = np.cumsum(bound[::-1])[::-1]
+    scores, reach = np.zeros(n_chunks), None
+    for i, (t, q) in enumerate(zip(lists, qtf)):
+        a, b = starts[t], starts[t + 1]
+        if reach is None and i and size[i] >= LONG_LIST and n_chunks > k:
+            least = np.partition(scores, n_chunks - k)[n_chunks - k]
+            if left[i] < least - 1e-5:
+                reach = np.flatnonzero(scores + left[i] >= least - 1e-5)
+        if reach is None:
+            scores[chunk[a:b]] += weight[a:b] * q
+        else:
+            at = np.minimum(np.searchsorted(chunk[a:b], reach), b - a - 1)
+            scores[reach] += np.where(chunk[a:b][at] == reach, weight[a:b][at] * q, 0.0)
+    within = np.flatnonzero(scores > 0) if reach is None else reach
+    rounded = np.round(scores[within], 6)
+    if len(within) > k:
+        keep = rounded >= np.partition(rounded, len(within) - k)[len(within) - k]
+        within, rounded = within[keep], rounded[keep]
+    return within[rounded > 0], rounded[rounded > 0]
+
+
+def search(index: LexicalIndex, terms: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: the k best chunks of each query, among ``only(chunk_id)`` where given.
+
+    Postings of the asked terms are laid into blocks of chunks, queries into blocks too, and every block of chunks meets every
+    block of queries; a task adds up scores in arrays and gives k rows a query.  So no row per pair of query and chunk is
+    ever shuffled, and neither side is collected or broadcast.
+    """
+    weighted = _weights(index, terms).where("w > 0")
+    if only is not None:
+        weighted = weighted.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    n_chunks = index.corpus.first()["n_chunks"]
+    n_queries = terms.agg(F.approx_count_distinct("query_id")).first()[0]
+    blocks, asks = max(LEAST_BLOCKS, -(-n_chunks // CHUNK_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = weighted.select(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), every(asks).alias("ask"), F.xxhash64("term").alias("t"), "chunk_id", "w")
+    asked = terms.select(F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int").alias("ask"), every(blocks).alias("block"), "query_id", F.xxhash64("term").alias("t"), F.col("qtf").cast("double").alias("qtf"))
+    query_type, chunk_type = terms.schema["query_id"].dataType.simpleString(), index.postings.schema["chunk_id"].dataType.simpleString()
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        queries, chunks = left.column("query_id").combine_chunks().dictionary_encode(), right.column("chunk_id").combine_chunks().dictionary_encode()
+        names, chunk = chunks.dictionary, chunks.indices.to_numpy()
+        term, weight = right.column("t").to_numpy(), right.column("w").to_numpy()
+        order = np.lexsort((chunk, term))
+        term, chunk, weight = term[order], chunk[order], weight[order]
+        known = np.unique(term)
+        starts = np.searchsorted(term, np.concatenate((known, known[-1:])), "left") if len(known) else np.zeros(1, np.int64)
+        if len(known):
+            starts[-1] = len(term)
+        row, wanted, times = queries.indices.to_numpy(), left.column("t").to_numpy(), left.column("qtf").to_numpy()
+        place = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+        here = known[place] == wanted if len(known) else np.zeros(len(wanted), bool)
+        by = np.argsort(row[here], kind="stable")
+        row, place, times = row[here][by], place[here][by], times[here][by]
+        edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, np.int64)
+        rows, found, scores = [], [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            at, s = block_best(starts, chunk, weight, place[a:b], times[a:b], len(names), k)
+            if len(at) > k:  # ties of the k-th: the lesser ids
+                ids = np.array(names.take(pa.array(at)).to_pylist())
+                top = np.lexsort((ids, -s))[:k]
+                at, s = at[top], s[top]
+            rows.append(np.full(len(at), row[a]))
+            found.append(at)
+            scores.append(s)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        return pa.table({"query_id": queries.dictionary.take(pa.array(join(rows, np.int64))), "chunk_id": names.take(pa.array(join(found, np.int64))), "score": pa.array(join(scores, np.float64))})
+
+    scored = asked.groupBy("block", "ask").cogroup(held.groupBy("block", "ask")).applyInArrow(best, f"query_id {query_type}, chunk_id {chunk_type}, score double")
+    return top_k(scored, k)
+
+
 def top_k(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The k best a query with their ``rank`` (bigint); ties go to the lesser key."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -32,9 +32,14 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("query_id"), F.explode("relevant_chunk_ids").alias("c")).where("c IS NOT NULL").select("query_id", clean_key(F.col("c")).alias("chunk_id")).distinct()
 
 
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    """The index over all chunks, once an application."""
+    texts = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk_id"), "text")
+    return lexical.open_index(texts.groupBy("chunk_id").agg(F.first("text", ignorenulls=True).alias("text")))
+
+
 def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = lexical.build_index(chunks(spark, sf_dir))
-    return lexical.top_k(lexical.bm25_scores(index, lexical.query_terms(questions(spark, sf_dir))), k)
+    return lexical.search(lexical_index(spark, sf_dir), lexical.query_terms(questions(spark, sf_dir)), k)
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

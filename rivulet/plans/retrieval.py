@@ -29,12 +29,12 @@ HITS = f"WITH {C.SQL_CHUNKS}, {C.SQL_QUESTIONS}, {C.sql_index()}, {C.sql_bm25()}
 
 @query(f"WITH {C.SQL_CHUNKS}, {C.sql_index()} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.build_index(C.chunks(spark, d)).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return C.lexical_index(spark, d).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {C.SQL_CHUNKS}, {C.sql_index()} SELECT n_chunks, total_len, round(avg_len, 6) AS avg_len FROM corpus")
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.build_index(C.chunks(spark, d), persist=False).corpus.select("n_chunks", "total_len", F.round("avg_len", 6).alias("avg_len"))
+    return C.lexical_index(spark, d).corpus.select("n_chunks", "total_len", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query(f"{HITS} {C.sql_top(10)}")
@@ -45,9 +45,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{HITS}, kept AS (SELECT s.* FROM scored s JOIN ch USING (chunk_id) WHERE modality = 'table') {C.sql_top(5, 'kept')}")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The filter comes after scoring with the statistics of the whole index, and before the limit."""
-    chunks = C.chunks(spark, d)
-    scored = lexical.bm25_scores(lexical.build_index(chunks), lexical.query_terms(C.questions(spark, d)))
-    return lexical.top_k(scored.join(chunks.where("modality = 'table'").select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score"), 5)
+    tables = table(spark, d, "chunks").where("modality = 'table'").select(F.col("id").alias("chunk_id"))
+    return lexical.search(C.lexical_index(spark, d), lexical.query_terms(C.questions(spark, d)), 5, tables)
 
 
 #: The published lexical benchmark: rows of its corpus, its needle, and its searches as one batch.
@@ -69,14 +68,14 @@ qs AS (SELECT CAST(i AS VARCHAR) AS query_id, CASE WHEN i % 2 = 0 THEN 'unique n
 @query(f"{_FIXTURE}, {C.sql_index()}, {C.sql_bm25()} {C.sql_top(5)}")
 def bm25_100k(spark: SparkSession, d: str) -> DataFrame:
     corpus, asked = fixture(spark)
-    return lexical.top_k(lexical.bm25_scores(lexical.build_index(corpus), lexical.query_terms(asked)), 5)
+    return lexical.search(lexical.build_index(corpus), lexical.query_terms(asked), 5)
 
 
 @query(f"""WITH {C.SQL_CHUNKS}, {C.sql_index("SELECT chunk_id, text FROM ch WHERE text IS NOT NULL AND deleted_at IS NULL")} SELECT term, df FROM stats""")
 def soft_view_stats(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies after the deletions, from those before and the deleted chunks alone."""
     chunks = C.chunks(spark, d)
-    base = lexical.build_index(chunks).term_stats
+    base = C.lexical_index(spark, d).term_stats
     gone = lexical.build_index(chunks.where("deleted_at IS NOT NULL"), persist=False).postings
     return lexical.soft_view(base, gone.select("term", F.lit(-1).alias("sign")))
 

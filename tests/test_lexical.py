@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+
 from rivulet.operators import lexical
 
 DOCS = [("c0", "the cat sat on the mat"), ("c1", "the dog ate the cat food"), ("c2", "birds fly"), ("c3", None), ("c4", "   "), ("c5", "the the the")]
@@ -60,3 +62,47 @@ def test_last_write_wins(spark):
     new = spark.createDataFrame([("b", 2), ("c", 2)], "chunk_id string, v int")
     assert sorted(map(tuple, lexical.last_write_wins(old, new).collect())) == [("a", 1), ("b", 2), ("c", 2)]
     assert lexical.last_write_wins(old, new.limit(0)).count() == 2
+
+
+def test_block_best_equals_full_scores(monkeypatch):
+    monkeypatch.setattr(lexical, "LONG_LIST", 1)
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n, terms, k = 60, 6, 5
+        lists = [np.flatnonzero(rng.random(n) < p) for p in (0.03, 0.1, 0.3, 0.6, 0.9, 1.0)]
+        weights = [np.full(len(x), 9.0 / (1 + t)) * rng.integers(1, 3, len(x)) for t, x in enumerate(lists)]
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        qtf = rng.integers(1, 3, terms).astype(float)
+        full = np.zeros(n)
+        for x, w, q in zip(lists, weights, qtf):
+            full[x] += w * q
+        at, scores = lexical.block_best(starts, np.concatenate(lists), np.concatenate(weights), np.arange(terms), qtf, n, k)
+        kth = np.sort(full)[-k]
+        assert set(at) == set(np.flatnonzero(full >= kth - 1e-9)) and np.allclose(scores, full[at])
+
+
+def test_search_equals_scored_pairs(spark):
+    texts = [(f"c{i:03d}", " ".join(["common"] * (1 + i % 3) + [f"t{i % 7}", f"u{i % 11}"] + (["rare"] if i == 50 else []))) for i in range(120)] + [("empty", "")]
+    index = lexical.build_index(spark.createDataFrame(texts, "chunk_id string, text string"))
+    asked = lexical.query_terms(spark.createDataFrame([("a", "common t3"), ("b", "rare u2 t1"), ("c", "unknown"), ("d", "t1 t1 common")], "query_id string, query string"))
+    want = lexical.top_k(lexical.bm25_scores(index, asked), 4)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
+    assert rows(lexical.search(index, asked, 4)) == rows(want)
+    some = spark.createDataFrame([("c050",), ("c001",), ("c001",)], "chunk_id string")
+    assert {(r.query_id, r.chunk_id) for r in lexical.search(index, asked, 4, some).collect()} == {("a", "c050"), ("a", "c001"), ("b", "c050"), ("b", "c001"), ("d", "c050"), ("d", "c001")}
+    assert lexical.search(index, asked.limit(0), 4).count() == 0
+
+
+def test_versions_additions_and_removals(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id string, text string")
+    folder = f"file://{tmp_path}/index"
+    lexical.build_index(frame(DOCS)).save(folder)
+    first = lexical.LexicalIndex.load(spark, folder)
+    changed = lexical.with_added(lexical.without(first, frame(DOCS[:1])), frame([(DOCS[1][0], "quite another text"), ("new", "one more text")]))
+    changed.save(folder)
+    lexical.drop_versions(spark, folder)
+    again = lexical.LexicalIndex.load(spark, folder)
+    fresh = lexical.build_index(frame([*DOCS[2:], (DOCS[1][0], "quite another text"), ("new", "one more text")]))
+    for name in ("postings", "term_stats", "corpus"):
+        rows = lambda ix, name=name: sorted(map(tuple, getattr(ix, name).collect()))
+        assert [r[:2] for r in rows(again)] == [r[:2] for r in rows(fresh)]
