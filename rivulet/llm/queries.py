@@ -23,8 +23,8 @@ CAPACITY, OVERLAP = 2000, 200
 
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = splitting.oversized_items(table(spark, sf_dir, "documents"), "document", "doc_id", "text", CAPACITY, OVERLAP)
-    return documents.unionByName(splitting.oversized_items(table(spark, sf_dir, "chunks"), "chunk", "id", "text", CAPACITY, OVERLAP))
+    documents = splitting.oversized_items(table(spark, sf_dir, "documents"), "document", "doc_id", "text", CAPACITY)
+    return documents.unionByName(splitting.oversized_items(table(spark, sf_dir, "chunks"), "chunk", "id", "text", CAPACITY))
 
 
 @query

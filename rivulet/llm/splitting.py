@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Boundaries from strong to weak and the separators that cut there; a weaker one also cuts at the stronger ones.
+#: Boundaries from strong to weak and where they cut; a weaker one also cuts at the stronger ones.  A run of newlines or blanks is one boundary.
 BOUNDARIES = (
-    ("paragraph", r"\n{2,}"),
-    ("line", r"\n+"),
-    ("sentence", r"\n+|(?<=[.!?])\s+"),
-    ("word", r"\s+"),
+    ("paragraph", r"(?<!\n)\n{2,}+"),
+    ("line", r"(?<!\n)\n++"),
+    ("sentence", r"(?:(?<!\n)\n++|(?<=[.!?])\s++)"),
+    ("word", r"(?<!\s)\s++"),
 )
 
 #: What a piece ends with, by boundary, for the piece regex.
@@ -65,16 +65,17 @@ def pieces(text: Column, capacity: int, overlap: int) -> Column:
     return F.when(F.length(text) <= capacity, F.array(text)).otherwise(cut)
 
 
-def longest_piece(text: Column, separator: str) -> Column:
-    """Length of the longest piece when cutting at every ``separator``, separators not counted."""
-    return F.array_max(F.transform(F.split(text, separator), F.length))
+def pieces_at(text: Column, capacity: int, ends: str) -> Column:
+    """Pieces that each end at one kind of boundary: matches of a bounded quantifier, one right after the other, as far as they go."""
+    return F.regexp_extract_all(text, F.lit(rf"\G[\s\S]{{0,{capacity}}}(?:{ends}|\z)"), F.lit(0))
 
 
 def boundary(text: Column, capacity: int) -> Column:
-    """The first boundary at which cutting everywhere leaves no piece over ``capacity``, else 'none'."""
+    """The strongest boundary whose pieces go through to the end of the text, each within ``capacity``, else 'none'."""
     out = F.lit("none")
-    for name, separator in reversed(BOUNDARIES):
-        out = F.when(longest_piece(text, separator) <= capacity, name).otherwise(out)
+    for name, ends in reversed(BOUNDARIES):
+        reached = F.aggregate(pieces_at(text, capacity, ends), F.lit(0), lambda n, piece: n + F.length(piece))
+        out = F.when(reached == F.length(text), name).otherwise(out)
     return out
 
 
@@ -94,8 +95,7 @@ def split_oversized(df: DataFrame, text: str, capacity: int, overlap: int, keep:
     return cut.select(*keep, "boundary", F.posexplode("_pieces").alias("piece_no", "piece"))
 
 
-def oversized_items(df: DataFrame, item: str, key: str, text: str, capacity: int, overlap: int) -> DataFrame:
-    """``(item, item_id, boundary)`` of the items over the capacity, from the operator's own pieces."""
-    long_ones = df.where(F.length(text) > capacity).select(F.col(key).cast("string").alias("item_id"), F.col(text).alias("text")).distinct()
-    cut = split_oversized(long_ones, "text", capacity, overlap, ["item_id"])
-    return cut.where("piece_no = 0").select(F.lit(item).alias("item"), "item_id", "boundary").distinct()
+def oversized_items(df: DataFrame, item: str, key: str, text: str, capacity: int) -> DataFrame:
+    """``(item, item_id, boundary)`` of the items over the capacity: the strongest boundary at which they can be cut to pieces."""
+    long_ones = df.where(F.length(text) > capacity).select(F.col(key).cast("string").alias("item_id"), boundary(F.col(text), capacity).alias("boundary"))
+    return long_ones.select(F.lit(item).alias("item"), "item_id", "boundary").distinct()

@@ -45,7 +45,7 @@ def test_cuts_at_the_strongest_boundary(spark):
 def test_boundary_of_an_item(spark):
     texts = {"paragraph": "a" * 9 + "\n\n" + "b" * 9, "line": "a" * 9 + "\n" + "b" * 9, "sentence": "aaaaaaa. bbbbbbbb", "word": "aaaaaaaa bbbbbbbbb", "none": "a" * 30}
     df = spark.createDataFrame([(k, t) for k, t in texts.items()] + [("fits", "abc"), ("null", None)], "id string, text string")
-    got = {r.item_id: r.boundary for r in splitting.oversized_items(df.union(df), "document", "id", "text", 10, 2).collect()}
+    got = {r.item_id: r.boundary for r in splitting.oversized_items(df.union(df), "document", "id", "text", 10).collect()}
     assert got == {k: k for k in texts}
 
 
