@@ -43,18 +43,20 @@ def length_spikes(df: DataFrame, source: str, text: str) -> DataFrame:
 
     Copies of one text count once.  The neighbours are the lengths within ``SPIKE_AROUND``.
     """
-    sizes = df.where(F.col(text).isNotNull()).select(
-        F.col(source).alias("source"),
-        F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.length(text).alias("size")), F.struct(F.lit("bytes").alias("measure"), F.octet_length(text).alias("size")))).alias("m"),
-        F.xxhash64(text).alias("h"),
-    )
-    counts = sizes.groupBy("source", "m.measure", "m.size").agg(F.count_distinct("h").alias("n"))
+    shape = df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("h"))
+    shapes = shape.groupBy("source", "chars", "bytes").agg(F.count_distinct("h").alias("n"))
+    measures = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("size"))))
+    each = shapes.select("source", "chars", "bytes", "n", measures.alias("m")).select("source", "m.*", "chars", "bytes", "n")
+    counts = each.groupBy("source", "measure", "size").agg(F.sum("n").alias("n"))
     near = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
     around = (F.sum("n").over(near) - F.col("n")) / (2.0 * SPIKE_AROUND)
     spikes = counts.withColumn("around", around).where((F.col("n") >= SPIKE_MIN) & (F.col("n") >= SPIKE_RATIO * F.greatest("around", F.lit(0.05))))
-    # a limit is in characters or in bytes: plain ASCII texts show it in both, the true measure has more
-    same = Window.partitionBy("source", "size")
-    return spikes.withColumn("most", F.max("n").over(same)).where("n = most").drop("most")
+    # a limit is in characters or in bytes, and its texts may make a lesser spike in the other measure: most of the lesser one's texts lie at the true one
+    other = F.when(F.col("measure") == "chars", F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("size"))).otherwise(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("size")))
+    met = each.select("source", "measure", "size", other.alias("o"), F.col("n").alias("shared")).join(spikes.select("source", "measure", "size", "n"), ["source", "measure", "size"])
+    true_ones = spikes.select("source", F.struct("measure", "size").alias("o"), F.col("n").alias("other_n"))
+    echoes = met.join(true_ones, ["source", "o"]).where((F.col("other_n") > F.col("n")) & (2 * F.col("shared") > F.col("n"))).select("source", "measure", "size").distinct()
+    return spikes.join(echoes, ["source", "measure", "size"], "left_anti")
 
 
 def _let(value: Column, body) -> Column:
