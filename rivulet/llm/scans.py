@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.boosting import Boosted
-from rivulet.session import materialize
+from rivulet.session import materialize, release
 
 #: What a scanner takes for what.
 CONFUSIONS = (
@@ -41,6 +41,10 @@ _DIGITS = str.maketrans("OSLI", "0511")
 
 #: Widest line of a page; a known word is in so many other texts; texts and words that the models learn from at most.
 WIDEST, KNOWN, TRAIN_TEXTS, TRAIN_WORDS = 110, 3, 400, 3000
+#: Edits between a misread word and its correction: two confusions of two characters each, and one more.
+DISTANCE = 5
+#: Ids of pages up to which they are broadcast after counting them.
+BROADCAST_IDS = 500_000
 #: Scores from which a line or a correction is taken.
 LINE_SCORE, WORD_SCORE = 0.45, 0.5
 
@@ -412,7 +416,9 @@ def corrections(words: DataFrame, vocabulary: DataFrame, ranker: Boosted | None)
     right = trusted.select(F.col("word").alias("right"), F.col("n").alias("rn"), F.explode(_gram_column(F.col("word"))).alias("g"), F.length("word").alias("l"))
     shared = left.join(right, ["g", "l"]).groupBy("word", "right").agg(F.count("*").alias("both"), F.first("wn").alias("wn"), F.first("rn").alias("rn"), F.first("n_docs").alias("n_docs"))
     # an operation of two characters spoils at most four runs of three, or three of two
-    near = shared.where(F.col("both") >= F.greatest(F.lit(1), F.greatest(F.length("word"), F.length("right")) - 8))
+    near = shared.where((F.col("both") >= F.greatest(F.lit(1), F.greatest(F.length("word"), F.length("right")) - 8)) & (F.levenshtein("word", "right", DISTANCE) >= 0))
+    # scoring is the costly part: spread it over all tasks, whatever the join left together
+    near = near.select("word", "right", "wn", "rn").repartition(max(32, 2 * words.sparkSession.sparkContext.defaultParallelism), "word", "right")
     schema = "word string, right string, p double, rn bigint"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -546,23 +552,31 @@ def repair(lines: list[str], kinds: list[set[str]], wrong: dict[str, str]) -> st
     return "\n\n".join(re.sub(r"\S+", right, p) for p in out)
 
 
+def _named() -> list[Column]:
+    return [F.when(F.left("key", F.lit(1)) == "d", "document").otherwise("chunk").alias("item"), F.substring("key", 2, 1 << 30).alias("item_id")]
+
+
 class ScanRepair:
     """Noise and repaired text of the scanned pages among documents, and of chunks cut from them.
 
     ``documents`` is ``(key, doc, text)``: the key to report and the id chunks refer to; ``chunks`` is ``(key,
     doc, text)``.  Null texts take no part; rows repeated whole count once; texts that are no pages give no
-    row.  Chunks take the labels of the lines they were cut from, and are labelled on their own where
-    their lines are not in the document.
+    row.  Chunks take the labels of the lines they were cut from.  A chunk whose document is missing, or without text, is
+    judged as a page of its own.
     """
 
     def __init__(self, documents: DataFrame, chunks: DataFrame):
         documents = documents.where("text IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("doc").cast("string").alias("doc"), "text").distinct()
-        read = materialize(documents.mapInArrow(_read_documents, "kind string, word string, n bigint, key string, doc string, text string"), "read")
+        cut = chunks.where("text IS NOT NULL").select(F.col("key").cast("string").alias("chunk"), F.col("doc").cast("string").alias("doc"), "text")
+        # keys begin with 'd' or 'c' from here on, for document or chunk
+        alone = cut.join(documents.select("doc").distinct(), "doc", "left_anti").select(F.concat(F.lit("c"), "chunk").alias("key"), F.lit(None).cast("string").alias("doc"), "text").dropDuplicates(["key"])
+        documents = documents.withColumn("key", F.concat(F.lit("d"), "key"))
+        read = materialize(documents.unionByName(alone).mapInArrow(_read_documents, "kind string, word string, n bigint, key string, doc string, text string"), "read")
         vocabulary = materialize(read.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
         pages = read.where("kind = 'page'").select("key", "doc", "text")
         words = materialize(pages.mapInArrow(_page_words, "key string, word string, role string"), "page-words")
         # training: bounded samples, the same at every size
-        sample = documents.where(F.length("text") > 900).orderBy(F.xxhash64("key")).limit(TRAIN_TEXTS).select("text").toArrow().column("text").to_pylist()
+        sample = documents.where(F.length("text") > 900).orderBy(F.xxhash64(F.substring("key", 2, 1 << 30))).limit(TRAIN_TEXTS).select("text").toArrow().column("text").to_pylist()
         plain = vocabulary.where(F.col("word").rlike(r"^\p{L}{3,}$"))
         taught = {r["word"]: r["n"] for part in (plain.where(F.col("n") >= KNOWN), plain.where(F.col("n") < KNOWN)) for r in part.orderBy(F.xxhash64("word")).limit(2 * TRAIN_WORDS).toArrow().to_pylist()}
         self.lines = train_lines([t for t in sample if not is_page(t)])
@@ -582,26 +596,29 @@ class ScanRepair:
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc"), pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.list_(pa.string())), b.column("wrong")], ["key", "doc", "lines", "kinds", "wrong"])
 
         self.pages = materialize(pages.join(in_page, "key", "left").join(looked_up, "key", "left").select("key", "doc", "text", "wrong", "known").mapInArrow(label, schema), "labelled")
-        cut = chunks.where("text IS NOT NULL").select(F.col("key").cast("string").alias("chunk"), F.col("doc").cast("string").alias("doc"), "text").distinct()
+        page_docs = materialize(self.pages.where("doc IS NOT NULL").select("doc").distinct(), "page-docs")
+        # only chunks of pages are moved, their texts once
+        of_pages = cut.join(F.broadcast(page_docs) if page_docs.count() <= BROADCAST_IDS else page_docs, "doc", "left_semi").distinct()
 
         def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
                 for text, lines, kinds, wrong in zip(*(b.column(c).to_pylist() for c in ("text", "lines", "kinds", "wrong"))):
                     out.append((mine := text.split("\n"), ["+".join(sorted(k)) for k in chunk_kinds(mine, lines, [set(filter(None, k.split("+"))) for k in kinds], dict(wrong or ()))]))
-                yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("doc"), pa.array([m[0] for m in out], pa.list_(pa.string())), pa.array([m[1] for m in out], pa.list_(pa.string())), b.column("wrong")], ["key", "doc", "lines", "kinds", "wrong"])
+                yield pa.RecordBatch.from_arrays([pa.array(["c" + c for c in b.column("chunk").to_pylist()], pa.string()), b.column("doc"), pa.array([m[0] for m in out], pa.list_(pa.string())), pa.array([m[1] for m in out], pa.list_(pa.string())), b.column("wrong")], ["key", "doc", "lines", "kinds", "wrong"])
 
-        self.chunks = cut.join(self.pages.drop("key"), "doc").mapInArrow(transfer, schema)
+        self.chunks = of_pages.join(self.pages.drop("key"), "doc").mapInArrow(transfer, schema)
+        release(read, words, vocabulary, fixes)
 
     def noise(self) -> DataFrame:
         """``(item, item_id, line_no, noise)``."""
-        every = self.pages.select(F.lit("document").alias("item"), "key", "kinds").unionByName(self.chunks.select(F.lit("chunk").alias("item"), "key", "kinds"))
-        lines = every.select("item", F.col("key").alias("item_id"), F.posexplode("kinds").alias("at", "k")).where("k != ''")
+        every = self.pages.select(*_named(), "kinds").unionByName(self.chunks.select(*_named(), "kinds"))
+        lines = every.select("item", "item_id", F.posexplode("kinds").alias("at", "k")).where("k != ''")
         return lines.select("item", "item_id", (F.col("at") + 1).cast("int").alias("line_no"), F.explode(F.split("k", r"\+")).alias("noise")).distinct()
 
     def repaired(self) -> DataFrame:
         """``(item, item_id, text)``: continuous paragraphs of every page and of every chunk cut from one."""
-        every = self.pages.withColumn("item", F.lit("document")).unionByName(self.chunks.withColumn("item", F.lit("chunk"))).withColumnRenamed("key", "item_id")
+        every = self.pages.unionByName(self.chunks).select(*_named(), "lines", "kinds", "wrong")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
