@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.text import U64, mix, shingle_hashes
-from rivulet.session import materialize
+from rivulet.session import materialize, release
 
 #: Word runs and similarity of near-duplicates where nothing else is stated.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -25,9 +25,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Places of the permutations.  Larger sets saturate it, which only adds candidates.
 PLACES = 1 << 16
-#: A group of more byte-equal texts is given as pairs of its least id and each other member.
+#: A group of more byte-equal texts is given as pairs of its least id and each other member; with None every pair is given.
 EXPAND = 64
-#: Members of a class that one task pairs with all others of the class.
+#: Members of a class, or of a bucket, that one task pairs with all others of it.
 BLOCK = 4096
 #: Texts hashed together in a Python worker.
 GROUP = 512
@@ -137,34 +137,43 @@ class NearDuplicates:
         self.members = signed.groupBy("item", "id", cls).agg(F.min("exact").alias("exact"))
         firsts = signed.groupBy("item", cls).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
         self.firsts = materialize(firsts, "classes")
-        buckets = self.firsts.select("item", "cls", "n", F.explode("bands").alias("key"))
-        # a bucket of one class has no pair: most are dropped before the join
-        a = buckets.select("item", "key", F.col("cls").alias("a"), F.col("n").alias("na"))
-        b = buckets.select("item", "key", F.col("cls").alias("b"), F.col("n").alias("nb"))
+        buckets = self.firsts.select("item", "cls", "n", F.explode("bands").alias("band")).select(F.xxhash64("item", "band").alias("key"), "cls", "n")
+        # most buckets hold one class and go no further; large ones are paired by several tasks, each with a part of the members on one side
+        shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        met = materialize(buckets.join(shared, "key"), "buckets")
+        a = met.select("key", F.pmod("cls", "blocks").cast("int").alias("block"), F.col("cls").alias("a"), F.col("n").alias("na"))
+        b = met.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("b"), F.col("n").alias("nb"))
         near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        self.candidates = materialize(a.join(b, ["item", "key"]).where(near).select("item", "a", "b").distinct(), "candidates")
+        pairs = a.join(b, ["key", "block"]).where(near).select("a", "b").distinct()
+        # a set that both items have is a class of each; pairs are made within an item
+        of = self.firsts.select("item", "cls")
+        self.candidates = materialize(pairs.join(of.withColumnRenamed("cls", "a"), "a").join(of.withColumnRenamed("cls", "b"), ["item", "b"]).select("item", "a", "b"), "candidates")
+        release(met)
         ends = self.candidates.select("item", F.col("a").alias("cls")).unionByName(self.candidates.select("item", F.col("b").alias("cls"))).distinct()
         wanted = self.firsts.select("item", "id", "cls").join(ends, ["item", "cls"])
         sets = materialize(with_sets(rows, wanted, shingle), "sets")
         self.links = materialize(jaccard_pairs(self.candidates, sets, similarity), "links")
+        release(sets, self.candidates)
 
-    def pairs(self) -> DataFrame:
+    def pairs(self, expand: int | None = EXPAND) -> DataFrame:
         """``(item, id_a, id_b)`` with id_a < id_b: all pairs of similar texts.
 
         Texts of one class may differ in case, punctuation or layout: all pairs between different texts are given,
-        within a class and between linked ones, and those of up to ``EXPAND`` byte-equal texts.  A larger group of
+        within a class and between linked ones, and those of up to ``expand`` byte-equal texts.  A larger group of
         byte-equal texts appears as its least id paired with every other member and stands in all other pairs by that id.
+        With None no group is shortened.
         """
+        most = F.lit((1 << 62) if expand is None else expand)
         copies = self.members.groupBy("item", "cls", "exact").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
         members = self.members.join(copies.where("copies > 1"), ["item", "cls", "exact"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-        shown = members.where((F.col("copies") <= EXPAND) | (F.col("id") == F.col("first"))).select("item", "cls", "id")
+        shown = members.where((F.col("copies") <= most) | (F.col("id") == F.col("first"))).select("item", "cls", "id")
         size = shown.groupBy("item", "cls").agg(F.count("*").alias("size")).where("size > 1")
         grouped = shown.join(size, ["item", "cls"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         # a large class is paired by several tasks: each takes a part of its members on one side
         left = grouped.select("item", "cls", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("x"))
         right = grouped.select("item", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"))
         inside = left.join(right, ["item", "cls", "block"]).where("x < y").select("item", "x", "y")
-        star = members.where((F.col("copies") > EXPAND) & (F.col("id") != F.col("first"))).select("item", F.col("first").alias("x"), F.col("id").alias("y"))
+        star = members.where((F.col("copies") > most) & (F.col("id") != F.col("first"))).select("item", F.col("first").alias("x"), F.col("id").alias("y"))
         across = self.links.join(shown.select("item", F.col("cls").alias("a"), F.col("id").alias("x")), ["item", "a"]).join(shown.select("item", F.col("cls").alias("b"), F.col("id").alias("y")), ["item", "b"]).select("item", "x", "y")
         every = inside.unionByName(star).unionByName(across)
         return every.select("item", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
