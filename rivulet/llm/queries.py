@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm import history, mixing, neardup, packing, pairs, scans, splitting, tokens, truncation, vectors
+from rivulet.operators.dense import dense_scores
 from rivulet.sources.tables import table
 
 QUERIES: dict = {}
@@ -108,6 +109,20 @@ def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(asked, probes=max(8, index.n_lists // 2)).select("id_a", "id_b", F.round("similarity", 5).alias("similarity"), "rank")
 
 
+@query
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of ``p5_topk`` at its setting, for the chunks whose id's hash is divisible by 50, against all of them by brute force."""
+    rows = vectors.usable(table(spark, sf_dir, "chunks").select("id", "embedding"), "id", "embedding", 64)
+    index = vectors.VectorIndex(rows, 64)
+    asked = index.vectors.where(F.pmod(F.hash("id"), F.lit(50)) == 0).select("id")
+    found = index.search(asked, probes=max(12, index.n_lists // 32))
+    queries = index.vectors.join(asked, "id").select(F.col("id").alias("query_id"), "v")
+    exact = dense_scores(queries, index.vectors.select(F.col("id").alias("chunk_id"), "v"), 11).where("query_id != chunk_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    best = exact.withColumn("place", F.row_number().over(order)).where("place <= 10").select(F.col("query_id").alias("id_a"), F.col("chunk_id").alias("id_b"))
+    return vectors.recall(found, best)
+
+
 #: size_limits 'container' and 'small_container'
 CONTAINER, SMALL_CONTAINER = 2048, 512
 

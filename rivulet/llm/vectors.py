@@ -20,10 +20,10 @@ from rivulet.session import materialize
 
 #: Codebooks, codewords of each, beam of the encoder.
 CODEBOOKS, WORDS, BEAM = 6, 256, 4
-#: Vectors the codebooks are fitted on, at most; every vector is indexed.
-TRAIN = 16_384
-#: Most lists; below, there are as many as the square root of the vectors.
-MAX_LISTS = 65_536
+#: Vectors the codebooks are fitted on, vectors drawn for each list centre, and most drawn in all; every vector is indexed.
+TRAIN, TRAIN_LIST, TRAIN_MOST = 16_384, 16, 262_144
+#: Most lists; below, there are as many as the square root of the vectors.  Up to FLAT centres are fitted in one go, more in two levels.
+MAX_LISTS, FLAT = TRAIN_MOST // TRAIN_LIST, 2_048
 #: Rows of a list, and queries of a list, that one task takes together.
 LIST_BLOCK, QUERY_BLOCK = 4096, 8192
 
@@ -37,11 +37,16 @@ class Codec:
 
     def lists(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest lists of each vector, nearest first."""
-        d = (self.centroids**2).sum(1) - 2 * (x @ self.centroids.T)
         n = min(n, len(self.centroids))
-        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(self.centroids) else np.broadcast_to(np.arange(n), (len(x), n))
-        order = np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable")
-        return np.take_along_axis(near, order, 1)
+        square = (self.centroids**2).sum(1)
+        out = np.empty((len(x), n), np.int64)
+        step = max(1, (1 << 23) // len(self.centroids))  # distances held at a time
+        for at in range(0, len(x), step):
+            d = square - 2 * (x[at : at + step] @ self.centroids.T)
+            near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(self.centroids) else np.broadcast_to(np.arange(n), (len(d), n))
+            order = np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable")
+            out[at : at + step] = np.take_along_axis(near, order, 1)
+        return out
 
     def encode(self, r: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes of residuals by beam search: after each codebook the ``beam`` sums nearest to the vector stay."""
@@ -75,10 +80,21 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
+def centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` list centres; many are fitted in two levels, each first-level group getting its share of them."""
+    if k <= FLAT:
+        return _kmeans(x, k, 8, rng)
+    top = _kmeans(x, int(round(k**0.5)), 8, rng)
+    near = ((top**2).sum(1) - 2 * (x @ top.T)).argmin(1)
+    groups = [x[near == g] for g in range(len(top))]
+    return np.concatenate([_kmeans(g, max(1, round(k * len(g) / len(x))), 8, rng) for g in groups if len(g)])
+
+
 def train(x: np.ndarray, n_lists: int, codebooks: int = CODEBOOKS, words: int = WORDS, refits: int = 1) -> Codec:
     """Fit centroids and codebooks to unit vectors: residual k-means, then all codebooks together by least squares on beam-searched codes."""
     rng = np.random.default_rng(5)
-    centroids = _kmeans(x, n_lists, 8, rng)
+    centroids = centres(x, n_lists, rng)
+    x = x[:TRAIN]
     codec = Codec(centroids, np.empty((0, 1, x.shape[1]), np.float32))
     r = x - centroids[codec.lists(x, 1)[:, 0]]
     books, left = [], r
@@ -147,8 +163,9 @@ class VectorIndex:
         ones = self.vectors.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"))
         n = self.vectors.count()
         self.n_lists = int(min(MAX_LISTS, max(1, round(n**0.5))))
-        share = min(1.0, 1.1 * TRAIN / max(1, n))
-        sample = self.vectors.where(F.pmod("h1", F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(TRAIN).select("v").toArrow()
+        drawn = min(TRAIN_MOST, max(TRAIN, TRAIN_LIST * self.n_lists))
+        share = min(1.0, 1.1 * drawn / max(1, n))
+        sample = self.vectors.where(F.pmod("h1", F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(drawn).select("v").toArrow()
         self.codec = train(_unit(_matrix(sample.column("v"), dim)), self.n_lists) if sample.num_rows else Codec(np.zeros((1, dim), np.float32), np.zeros((CODEBOOKS, WORDS, dim), np.float32))
         model = spark.sparkContext.broadcast(self.codec)
 
@@ -252,3 +269,9 @@ def mutual(found: DataFrame, at_least: float) -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b: pairs at or above a cosine that are each among the other's neighbours."""
     near = found.where(F.col("similarity") >= at_least).select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"))
     return near.groupBy("x", "y").agg(F.count("*").alias("n")).where("n = 2").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row ``(n_queries, n_true, recall)``: share of the true neighbours ``(id_a, id_b)`` that were found."""
+    both = exact.select("id_a", "id_b", F.lit(1).alias("_true")).join(found.select("id_a", "id_b", F.lit(1).alias("_found")), ["id_a", "id_b"], "left")
+    return both.agg(F.count_distinct("id_a").alias("n_queries"), F.count("*").alias("n_true"), F.round(F.count("_found") / F.count("*"), 4).alias("recall"))
