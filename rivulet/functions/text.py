@@ -67,9 +67,9 @@ def safe_segment(name: Column) -> Column:
 
 def overlap_length(left: Column, right: Column, most: int = 512) -> Column:
     """Longest suffix of ``left`` that is a prefix of ``right``, up to ``most`` characters; 0 if none."""
-    n = F.least(F.length(left), F.length(right), F.lit(most))
-    sizes = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda k: F.right(left, k) == F.left(right, k))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_max(sizes), F.lit(0)).cast("bigint")
+    # a mark that no text holds stands between the end of one and the start of the other; the earliest start of what is repeated behind it is the longest
+    ends = F.concat(F.right(left, F.lit(most)), F.lit("\uffff"), F.left(right, F.lit(most)))
+    return F.length(F.regexp_extract(ends, r"(?s)^[^\uFFFF]*?([^\uFFFF]+)\uFFFF\1", 1)).cast("bigint")
 
 
 def context_header(source: Column, section: Column, page: Column) -> Column:
@@ -78,6 +78,27 @@ def context_header(source: Column, section: Column, page: Column) -> Column:
     return F.concat(F.lit("[Document: "), dash(source), F.lit(" | Section: "), dash(section), F.lit(" | Page: "), dash(page), F.lit("]"))
 
 
+def heading_lines(text: Column) -> Column:
+    """The lines of a text, those within fenced code emptied.
+
+    A fence is three or more backticks or tildes after at most three blanks; it is closed by as many of the same mark with nothing
+    behind them, else it runs to the end.
+    """
+    mark = lambda line: F.regexp_extract(line, r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})", 1)
+
+    def step(state: Column, line: Column) -> Column:
+        opened, found = state["fence"], mark(line)
+        closes = (opened != "") & found.startswith(opened) & F.trim(line).rlike(r"^(`+|~+)$")
+        after = F.when(opened == "", found).when(closes, "").otherwise(opened)
+        shown = F.when((opened == "") & (found == ""), line).otherwise("")
+        return F.struct(after.alias("fence"), F.concat(state["lines"], F.array(shown)).alias("lines"))
+
+    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<string>").alias("lines"))
+    folded = F.aggregate(F.split(text, "\n"), start, step, lambda s: s["lines"])
+    # most texts have no fence and need no fold
+    return F.when(text.rlike(r"(?m)^ {0,3}(```|~~~)"), folded).otherwise(F.split(text, "\n"))
+
+
 def json_rescue(text: Column, schema: str) -> Column:
     """JSON in a model's answer: the whole text, else its first bracketed list or outermost object; null if neither parses."""
     listed = schema.lower().startswith("array")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.text import token_estimate
+from rivulet.functions.text import overlap_length, strip, token_estimate
 
 
 def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -50,16 +50,6 @@ def passages(hits: DataFrame, key: str) -> DataFrame:
     )
 
 
-def joined_text(texts: list[str], most: int = 512) -> str:
-    """Texts in a row, what each repeats of the end of the one before once; a blank line where nothing is shared."""
-    parts = [t.strip() for t in texts if t and t.strip()]
-    out = parts[0] if parts else ""
-    for part in parts[1:]:
-        shared = next((n for n in range(min(len(out), len(part), most), 0, -1) if out.endswith(part[:n])), 0)
-        out = out + part[shared:] if shared else f"{out}\n\n{part}"
-    return out
-
-
 def tokens(text: str) -> int:
     return max(1, len(text) // 4)
 
@@ -75,31 +65,41 @@ def cut(text: str, most: int) -> str:
     return (head[: stop + 1] if stop > 0 else head).strip()
 
 
+def appended(text: Column, more: Column) -> Column:
+    """Two neighbouring texts as one: what the second repeats of the first's end once, a blank line between them where they share nothing."""
+    shared = overlap_length(text, more)
+    return F.when(text == "", more).when(more == "", text).when(shared > 0, F.concat(text, F.substring(more, shared.cast("int") + 1, 1 << 30))).otherwise(F.concat(text, F.lit("\n\n"), more))
+
+
 def merge_segments(hits: DataFrame, max_tokens: int) -> DataFrame:
     """Adjacent hits merged as long as the joined text stays within ``max_tokens``.
 
     Per query, document and parent group, which a query's top-k bounds.  ``(query_id, chunk_id, chunk_ids, text, rank)``: the
-    first chunk's id, all member ids, the joined text and the best rank.
+    first chunk's id, all member ids, the joined text and the best rank.  Chunks without an index, and propositions, stay alone.
     """
-    schema = "query_id string, chunk_id string, chunk_ids string, text string, rank bigint"
+    alone = F.col("chunk_index").isNull() | F.col("chunk_type").eqNullSafe("proposition")
+    columns = ["query_id", "chunk_id", "chunk_ids", "text", "rank"]
+    single = hits.where(alone).select("query_id", "chunk_id", F.col("chunk_id").alias("chunk_ids"), "text", F.col("rank").cast("bigint").alias("rank"))
+    row = F.struct(F.col("chunk_index").cast("bigint").alias("at"), F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    groups = hits.where(~alone).groupBy("query_id", "document_id", "parent_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, current = [], []
-        plain = group[group.chunk_index.isna() | (group.chunk_type == "proposition")]
-        for r in group.drop(plain.index).sort_values(["chunk_index", "rank"]).itertuples():
-            texts = [x.text for x in current] + [r.text]
-            if current and r.chunk_index == current[-1].chunk_index + 1 and tokens(joined_text(texts)) <= max_tokens:
-                current.append(r)
-            else:
-                rows += [current] if current else []
-                current = [r]
-        rows += ([current] if current else []) + [[r] for r in plain.itertuples()]
-        return pd.DataFrame(
-            [(m[0].query_id, m[0].chunk_id, ",".join(x.chunk_id for x in m), joined_text([x.text for x in m]) if len(m) > 1 else m[0].text, min(x.rank for x in m)) for m in rows],
-            columns=["query_id", "chunk_id", "chunk_ids", "text", "rank"],
-        )
-
-    return hits.select("query_id", "document_id", "parent_id", "chunk_id", "chunk_index", "chunk_type", "text", "rank").groupBy("query_id", "document_id", "parent_id").applyInPandas(run, schema)
+    def segment(r: Column) -> Column:
+        return F.struct(r["at"].alias("last"), r["chunk_id"].alias("chunk_id"), F.array(r["chunk_id"]).alias("ids"), r["text"].alias("text"), strip(r["text"]).alias("joined"), r["rank"].alias("rank"))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        near = r["at"] == last["last"] + 1
+
+        def chosen(both: Column) -> Column:
+            grown = F.struct(r["at"].alias("last"), last["chunk_id"].alias("chunk_id"), F.concat(last["ids"], F.array(r["chunk_id"])).alias("ids"), both.alias("text"), both.alias("joined"), F.least(last["rank"], r["rank"]).alias("rank"))
+            return F.when(near & (token_estimate(both) <= max_tokens), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(segment(r))))
+
+        # as a lambda's variable the joined text is made once, and only for neighbours
+        return F.element_at(F.transform(F.array(F.when(near, appended(last["joined"], strip(r["text"]))).otherwise("")), lambda both: chosen(both)), 1)
+
+    segments = F.aggregate(F.slice("rows", 2, 1 << 30), F.array(segment(F.col("rows")[0])), step)
+    merged = groups.select("query_id", F.explode(segments).alias("s")).select("query_id", "s.chunk_id", F.array_join("s.ids", ",").alias("chunk_ids"), "s.text", "s.rank")
+    return merged.select(*columns).unionByName(single.select(*columns))
 
 
 def compress(hits: DataFrame, budget: int) -> DataFrame:

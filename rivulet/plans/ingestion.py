@@ -128,7 +128,9 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("source_path IS NOT NULL").select("doc_id", T.basename(p).alias("base"), T.stem(p).alias("stem"), T.safe_segment(T.basename(p)).alias("safe")).distinct()
 
 
-_TABLE = r"(\|[^\n]+\|\n\|[-: |]+\|\n(?:\|[^\n]+\|\n?)+)"
+# a table is a row of cells, a row of dashes with optional colons, and further rows, each between pipes and on a line of its own
+_ROW, _RULE = r"\|.+\|", r"\|(?: *:?-+:? *\|)+"
+_TABLE = rf"(?m)(^{_ROW}\n{_RULE}(?:\n{_ROW})+)"
 
 
 @query(f"""SELECT doc_id, len(regexp_extract_all(text, '{_TABLE}')) AS n_tables, md5(regexp_extract(text, '{_TABLE}')) AS first_table FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(text, '{_TABLE}')""")
@@ -137,10 +139,12 @@ def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(_TABLE), F.lit(1))).cast("bigint").alias("n_tables"), F.md5(F.regexp_extract("text", _TABLE, 1)).alias("first_table"))
 
 
-@query(r"""SELECT doc_id, pos, title FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, regexp_extract(unnest(ls), '^#{1,6}\s+(.+)$', 1) AS title FROM (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text NOT LIKE '%```%')) WHERE title <> ''""")
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT *, count(*) FILTER (regexp_matches(line, '^ {0,3}```')) OVER (PARTITION BY doc_id ORDER BY pos) AS fences FROM l)
+SELECT doc_id, pos, regexp_extract(line, '^#{1,6}\s+(.+)$', 1) AS title FROM f WHERE fences % 2 = 0 AND regexp_extract(line, '^#{1,6}\s+(.+)$', 1) <> ''""")
 def headings(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of documents without fenced code."""
-    lines = table(spark, d, "documents").where("text NOT LIKE '%```%'").select("doc_id", "text").distinct().select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Headings of documents, those within fenced code left out; a fence that is never closed runs to the end."""
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text").distinct().select("doc_id", F.posexplode(T.heading_lines(F.col("text"))).alias("pos", "line"))
     return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1).alias("title")).where("title != ''")
 
 
