@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values that running counts are summed up over.
+RANGES = 256
+
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """``(query_id, recall, precision, ndcg, mrr)`` at k of every query in ``relevant`` (query_id, chunk_id).
@@ -62,3 +65,27 @@ def regression(now: DataFrame, base: DataFrame, key: str, worse_by: float = 10.0
     change = F.round(100 * (F.col("n.p95") - F.col("b.p95")) / F.col("b.p95"), 4)
     status = F.when(F.col("n.p95").isNull() | F.col("b.p95").isNull(), "skipped").when((change > worse_by) | (F.col("n.failures") > F.col("b.failures")), "regressed").otherwise("ok")
     return joined.select(F.coalesce(f"n.{key}", f"b.{key}").alias(key), change.alias("change_pct"), status.alias("status"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a column per group, between the two nearest values: ``(by, n, names of at)``; nulls don't count.
+
+    Values are counted first, then counts are summed up in order, over hash ranges of the value's order: no task holds a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    size = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    keyed = counts.join(size, by) if by else counts.crossJoin(F.broadcast(size))
+    span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    ranged = keyed.withColumn("_r", F.floor((F.col("_v") - F.col("_low")) / span * RANGES).cast("int"))
+    totals = ranged.groupBy(*by, "_r").agg(F.sum("_c").alias("_t"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    inside = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(before, [*by, "_r"]).withColumn("_last", F.col("_before") + F.sum("_c").over(inside) - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    out = []
+    for name, q in at.items():
+        spot = (F.col("n") - 1) * F.lit(q)
+        # the values at the places below and above the spot, each weighted by its nearness
+        weight = lambda place, w: F.sum(F.when((F.col("_first") <= place) & (F.col("_last") >= place), F.col("_v") * w))
+        low, part = F.floor(spot), spot - F.floor(spot)
+        out.append((weight(low, 1 - part) + F.coalesce(weight(low + 1, part), F.lit(0.0))).alias(name))
+    return placed.groupBy(*by).agg(F.first("n").alias("n"), *out)

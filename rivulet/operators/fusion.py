@@ -47,6 +47,20 @@ def first_view(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "chunk_id").agg(F.min_by("score", "leg").alias("score"), F.min("leg").alias("leg"), F.count_distinct("leg").alias("n_legs"))
 
 
+def merged_views(views: dict[str, DataFrame]) -> DataFrame:
+    """One row a chunk of a query with the columns of all views ``(query_id, chunk_id, ...)``; where several have a column, the first view's non-null value counts.
+
+    ``leg`` is the first view that holds the chunk, ``n_legs`` how many do.
+    """
+    columns = list(dict.fromkeys(c for df in views.values() for c in df.columns if c not in ("query_id", "chunk_id")))
+    every = None
+    for at, (name, df) in enumerate(views.items()):
+        one = df.select("query_id", "chunk_id", F.lit(name).alias("leg"), F.lit(at).alias("_at"), *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+        every = one if every is None else every.unionByName(one)
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in columns]
+    return every.groupBy("query_id", "chunk_id").agg(F.min_by("leg", "_at").alias("leg"), F.count_distinct("leg").alias("n_legs"), *first)
+
+
 def feedback_boost(ranked: DataFrame, feedback: DataFrame, multiplier: float) -> DataFrame:
     """Scores raised by positive feedback totals, ranked again; negative totals and unknown chunks change nothing."""
     raised = ranked.join(feedback, "chunk_id", "left").withColumn("boosted", F.round(F.col("score") + multiplier * F.greatest(F.coalesce("feedback", F.lit(0.0)), F.lit(0.0)), 6))

@@ -233,7 +233,8 @@ def search(index: LexicalIndex, terms: DataFrame, k: int, only: DataFrame | None
         return pa.table({"query_id": queries.dictionary.take(pa.array(join(rows, np.int64))), "chunk_id": names.take(pa.array(join(found, np.int64))), "score": pa.array(join(scores, np.float64))})
 
     scored = asked.groupBy("block", "ask").cogroup(held.groupBy("block", "ask")).applyInArrow(best, f"query_id {query_type}, chunk_id {chunk_type}, score double")
-    return top_k(scored, k)
+    # k rows a query, written once: what follows often reads them several times
+    return materialize(top_k(scored, k), "found")
 
 
 def top_k(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.text import json_rescue
 from rivulet.functions.vectors import cosine
-from rivulet.operators import context, evals, quality
+from rivulet.operators import context, evals, quality, sweep
 from rivulet.plans import common as C
 from rivulet.plans.retrieval import HITS
 from rivulet.sources.tables import table
@@ -93,7 +93,9 @@ def goldens_in_sync(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT DISTINCT * FROM ingestion_runs) GROUP BY 1""")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "ingestion_runs").distinct()
-    return runs.groupBy("status").agg(F.count("duration_ms").alias("n"), F.round(F.percentile("duration_ms", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("duration_ms", F.lit(0.95)), 4).alias("p95"), F.count_if(F.col("error") != "").alias("failures"))
+    times = evals.quantiles(runs, ["status"], "duration_ms", {"p50": 0.5, "p95": 0.95})
+    counts = runs.groupBy("status").agg(F.count("duration_ms").alias("n"), F.count_if(F.col("error") != "").alias("failures"))
+    return counts.join(times.drop("n"), "status", "left").select("status", "n", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "failures")
 
 
 _HALVES = """r AS (SELECT DISTINCT * FROM ingestion_runs), half AS (SELECT created_at >= TIMESTAMP '2025-07-01 00:00:00' AS late, status, quantile_cont(duration_ms, 0.95) AS p95, count(*) FILTER (status = 'failed') AS failures FROM r GROUP BY 1, 2)"""
@@ -104,7 +106,9 @@ SELECT coalesce(n.status, b.status) AS status, round(100 * (n.p95 - b.p95) / b.p
 CASE WHEN n.p95 IS NULL OR b.p95 IS NULL THEN 'skipped' WHEN round(100 * (n.p95 - b.p95) / b.p95, 4) > 10 OR n.failures > b.failures THEN 'regressed' ELSE 'ok' END AS verdict FROM n FULL JOIN b ON n.status = b.status""")
 def latency_regression(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "ingestion_runs").distinct().withColumn("late", F.expr("created_at >= TIMESTAMP '2025-07-01 00:00:00'"))
-    half = runs.groupBy("late", F.col("status").alias("kind")).agg(F.percentile("duration_ms", F.lit(0.95)).alias("p95"), F.count_if(F.col("status") == "failed").alias("failures"))
+    runs = runs.withColumn("kind", F.col("status"))
+    times = evals.quantiles(runs, ["late", "kind"], "duration_ms", {"p95": 0.95}).drop("n")
+    half = runs.groupBy("late", "kind").agg(F.count_if(F.col("status") == "failed").alias("failures")).join(times, ["late", "kind"], "left")
     out = evals.regression(half.where("late"), half.where("NOT late"), "kind")
     return out.select(F.col("kind").alias("status"), "change_pct", F.col("status").alias("verdict"))
 
@@ -121,7 +125,9 @@ def inter_event_latency(spark: SparkSession, d: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = micros - F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     gaps = table(spark, d, "events").select("user_id", gap.alias("gap"))
-    return gaps.groupBy("user_id").agg(F.count("gap").alias("n_gaps"), F.round(F.percentile("gap", F.lit(0.5)) / 1000, 1).alias("p50_ms"), F.round(F.percentile("gap", F.lit(0.95)) / 1000, 1).alias("p95_ms"))
+    times = evals.quantiles(gaps, ["user_id"], "gap", {"p50": 0.5, "p95": 0.95}).drop("n")
+    counts = gaps.groupBy("user_id").agg(F.count("gap").alias("n_gaps"))
+    return counts.join(times, "user_id", "left").select("user_id", "n_gaps", F.round(F.col("p50") / 1000, 1).alias("p50_ms"), F.round(F.col("p95") / 1000, 1).alias("p95_ms"))
 
 
 @query("""WITH d AS (SELECT CASE WHEN chunk_index < 3 THEN 200 WHEN chunk_index < 8 THEN 400 ELSE 800 END AS size, length(text) AS n FROM (SELECT DISTINCT id, chunk_index, text FROM chunks WHERE chunk_index IS NOT NULL)),
@@ -188,14 +194,17 @@ def golden_modality(spark: SparkSession, d: str) -> DataFrame:
     return quality.first_resolved(ids, C.chunks(spark, d).select("chunk_id", "modality")).withColumnRenamed("row_id", "qa_id")
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)
-SELECT b.vec_id, count(*) AS n_earlier FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.5 GROUP BY 1""")
-def near_vectors_in_label(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors with an earlier near one of the same label."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.where(F.round(cosine(F.col("a.v"), F.col("b.v")), 6) >= 0.5).groupBy(F.col("b.vec_id").alias("vec_id")).agg(F.count("*").alias("n_earlier"))
+@query(r"""WITH RECURSIVE p AS (SELECT qa_id, list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) AS ws FROM (SELECT DISTINCT qa_id, question FROM qa_pairs WHERE question IS NOT NULL)),
+e AS (SELECT a.qa_id AS a, b.qa_id AS b FROM (SELECT qa_id, ws, unnest(ws) AS w FROM p) a JOIN (SELECT qa_id, ws, unnest(ws) AS w FROM p) b USING (w) WHERE a.qa_id < b.qa_id GROUP BY a.qa_id, b.qa_id, len(a.ws), len(b.ws) HAVING count(*) >= 0.8e0 * (len(a.ws) + len(b.ws) - count(*))),
+r(round, open, kept) AS (SELECT 0, (SELECT list(DISTINCT x) FROM (SELECT a AS x FROM e UNION SELECT b FROM e)), CAST([] AS BIGINT[])
+  UNION ALL SELECT round + 1, list_filter(open, lambda x: NOT list_contains(k, x) AND NOT list_contains(g, x)), list_concat(kept, k)
+  FROM (SELECT round, open, kept, k, (SELECT coalesce(list(b), []) FROM e WHERE list_contains(k, a)) AS g FROM (SELECT round, open, kept, list_filter(open, lambda x: NOT list_contains(waits, x)) AS k FROM (SELECT round, open, kept, (SELECT coalesce(list(b), []) FROM e WHERE list_contains(open, a) AND list_contains(open, b)) AS waits FROM r WHERE len(open) > 0))))
+SELECT qa_id FROM p WHERE qa_id NOT IN (SELECT x FROM (SELECT a AS x FROM e UNION SELECT b FROM e)) OR qa_id IN (SELECT unnest(kept) FROM (SELECT kept FROM r ORDER BY round DESC LIMIT 1))""")
+def deduplicated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that stay when, in order, each drops the later ones whose words are 0.8 the same."""
+    rows = table(spark, d, "qa_pairs").where("question IS NOT NULL").select("qa_id", "question").distinct()
+    words = rows.select(F.col("qa_id").alias("key"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("words"))
+    return sweep.greedy_keep(words.select("key"), sweep.similar_sets(words, 0.8)).select(F.col("key").alias("qa_id"))
 
 
 @query(f"""WITH {C.SQL_CHUNKS}, v AS (SELECT DISTINCT id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

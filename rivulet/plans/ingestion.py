@@ -190,6 +190,11 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d, strategy="section")
 
 
+@query()
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, strategy="semantic", threshold=0.9)
+
+
 @query()
 def parent_child_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d, strategy="parent_child", size=400, overlap=40, parent_size=1500)

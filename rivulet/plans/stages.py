@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import answers as A
-from rivulet.operators import dense, judged, quality, stages
+from rivulet.operators import dense, enrich, fusion, judged, lexical, pipeline, quality, stages, sweep
 from rivulet.operators.references import clean_key
 from rivulet.plans import common as C
 from rivulet.plans.retrieval import HITS
@@ -270,3 +270,59 @@ def hypothetical_passages(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = C.vector_rows(spark, d)
     made = rows.where("(chunk_id - 1) % 50 = 0").select((F.col("chunk_id") - 1).alias("query_id"), "v").where(_h(F.col("query_id")) % 5 != 0)
     return dense.dense_scores(made, rows.select("chunk_id", "v"), 10)
+
+
+# --- the whole retrieval, and comparisons of its settings
+
+_ENT = "list_filter(string_split_regex({t}, '[,;.!?\\s]+'), lambda w: length(w) > 1 AND regexp_matches(w, '^\\p{{Lu}}'))"
+_LEGS = f"""{HITS}, lex AS ({C.sql_top(30)}), asked AS (SELECT DISTINCT query_id, unnest({_ENT.format(t='query')}) AS entity FROM qs), edges AS (SELECT DISTINCT chunk_id, unnest({_ENT.format(t='text')}) AS entity FROM ch WHERE text IS NOT NULL),
+n AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1), gs AS (SELECT query_id, chunk_id, round(count(DISTINCT entity) / any_value(n), 6) AS score FROM asked JOIN edges USING (entity) JOIN n USING (query_id) GROUP BY 1, 2), gr AS ({C.sql_top(30, 'gs')}),
+both_legs AS (SELECT query_id, '1lexical' AS leg, chunk_id, rank FROM lex UNION ALL SELECT query_id, '2graph', chunk_id, rank FROM gr),
+fs AS (SELECT query_id, chunk_id, round(sum((CASE WHEN leg = '2graph' THEN 0.5e0 ELSE 1.0e0 END) / (60 + rank)), 8) AS score, min({{'leg': leg, 'rank': rank}}) AS seen FROM both_legs GROUP BY 1, 2),
+fused AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen.leg, seen.rank, chunk_id) AS rank FROM fs) WHERE rank <= 30),
+fh AS (SELECT *, {_sql_h('query_id || chunk_id')} AS h FROM fused), fl AS (SELECT *, bool_or(h % 397 = 0) OVER (PARTITION BY query_id) AS failed FROM fh),
+re AS (SELECT * FROM (SELECT query_id, chunk_id, h, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN failed THEN 0 ELSE -(h % 40) END, rank, chunk_id) AS rank FROM fl) WHERE rank <= 10)"""
+
+
+def _legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    asked = C.questions(spark, d)
+    return {"1lexical": lexical.search(C.lexical_index(spark, d), lexical.query_terms(asked), 30), "2graph": enrich.entity_hits(asked, enrich.mentions(C.chunks(spark, d)), 30)}
+
+
+def _rescored(hits: DataFrame) -> DataFrame:
+    h = _h(F.concat("query_id", "chunk_id"))
+    return hits.select("query_id", "chunk_id", F.when(h % 397 != 0, (h % 40).cast("double")).alias("rescore"))
+
+
+@query(f"""{_LEGS}, e AS (SELECT r.*, ch.parent_id, ch.text, coalesce(trim(p.text) <> '', false) AS enriched, p.text AS parent_text FROM re r JOIN ch USING (chunk_id) LEFT JOIN ch p ON p.chunk_id = ch.parent_id),
+k AS (SELECT query_id, chunk_id, rank, h, CASE WHEN enriched THEN parent_id ELSE chunk_id END AS passage, CASE WHEN enriched THEN parent_text ELSE text END AS context FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.enriched AND b.query_id = a.query_id AND b.parent_id = a.chunk_id)),
+rep AS (SELECT query_id, passage, arg_min(h, rank) AS h FROM k GROUP BY 1, 2), ok AS (SELECT query_id, passage FROM rep WHERE h % 10 >= 4)
+SELECT query_id, chunk_id, rank, md5(context) AS context FROM (SELECT query_id, chunk_id, context, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS rank FROM k JOIN ok USING (query_id, passage)) WHERE rank <= 5""")
+def retrieve_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical and graph legs fused, reranked (with failures), given their parents, graded and cut to five."""
+    config = pipeline.Config(weights={"2graph": 0.5}, least_grade=0.4)
+    legs = _legs(spark, d)
+    hits = pipeline.fused(legs, config)
+    grades = hits.select("query_id", "chunk_id", (_h(F.concat("query_id", "chunk_id")) % 10 / 10).alias("grade"))
+    return pipeline.retrieve(legs, C.chunks(spark, d), config, rescores=_rescored(hits), grades=grades).withColumn("context", F.md5("context"))
+
+
+@query(f"""{_LEGS}, {C.SQL_RELEVANT}, runs AS (SELECT 'lexical' AS setting, query_id, chunk_id, rank FROM lex UNION ALL SELECT 'graph', query_id, chunk_id, rank FROM gr UNION ALL SELECT 'fused', query_id, chunk_id, rank FROM fused UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM re),
+names AS (SELECT unnest(['lexical', 'graph', 'fused', 'reranked', 'none']) AS setting), size AS (SELECT setting, query_id, count(*) AS n_rel FROM rel, names GROUP BY 1, 2),
+h AS (SELECT setting, query_id, count(DISTINCT chunk_id) AS found, count(*) AS n, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM runs JOIN rel USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY 1, 2),
+m AS (SELECT setting, round(coalesce(found / n_rel, 0), 6) AS recall, round(coalesce(n / 5, 0), 6) AS precision, round(coalesce(dcg / list_sum(list_transform(generate_series(1, least(n_rel, 5)), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr FROM size LEFT JOIN h USING (setting, query_id))
+SELECT setting, count(*) AS n, round(avg(recall), 5) AS recall, round(avg(precision), 5) AS precision, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr FROM m GROUP BY 1""")
+def technique_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Mean metrics of each technique, one that gives nothing among them."""
+    legs = _legs(spark, d)
+    hits = pipeline.fused(legs, pipeline.Config(weights={"2graph": 0.5}))
+    reranked = stages.reranked(hits.join(_rescored(hits), ["query_id", "chunk_id"]), 10)
+    runs = {"lexical": legs["1lexical"], "graph": legs["2graph"], "fused": hits, "reranked": reranked, "none": hits.where("false")}
+    return sweep.compare(runs, C.relevant(spark, d), 5)
+
+
+@query(f"""{_LEGS}, votes AS (SELECT 'c' AS side, chunk_id, {_sql_h('chunk_id')} AS h FROM ch) SELECT query_id, chunk_id, min(leg) AS leg, count(DISTINCT leg) AS n_legs, max(CASE WHEN leg = '1lexical' THEN rank END) AS lexical_rank, max(CASE WHEN leg = '2graph' THEN rank END) AS graph_rank FROM both_legs GROUP BY 1, 2""")
+def merged_views(spark: SparkSession, d: str) -> DataFrame:
+    """The view of the first leg, with what only later ones know added."""
+    legs = _legs(spark, d)
+    return fusion.merged_views({"1lexical": legs["1lexical"].select("query_id", "chunk_id", F.col("rank").alias("lexical_rank")), "2graph": legs["2graph"].select("query_id", "chunk_id", F.col("rank").alias("graph_rank"))})

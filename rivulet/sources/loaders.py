@@ -91,16 +91,17 @@ def load_pptx(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         for name in names:
-            title, lines = None, []
+            title, shapes = None, []
             for shape in ElementTree.fromstring(z.read(name)).iter(f"{_P}sp"):
-                text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(f"{_A}t")).strip() for p in shape.iter(f"{_A}p"))))
+                paragraphs = ("".join(t.text or "" for t in p.iter(f"{_A}t")).strip() for p in shape.iter(f"{_A}p"))
+                text = "\n".join(filter(None, paragraphs))
                 kind = shape.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")
                 if title is None and kind is not None and kind.get("type") in ("title", "ctrTitle"):
                     title = text or None
-                if text:
-                    lines.append(text)
-            slides.append({"title": title, "text": "\n".join(lines)})
-    return {"content": "\n\n---\n\n".join(s["text"] for s in slides if s["text"]), "slides": slides, "title": next((s["title"] for s in slides if s["title"]), None)}
+                shapes += [text] if text else []
+            if shapes:
+                slides.append({"title": title, "text": "\n\n".join(shapes)})
+    return {"content": "\n\n---\n\n".join(s["text"] for s in slides), "slides": slides, "title": next((s["title"] for s in slides if s["title"]), None)}
 
 
 LOADERS = {".txt": load_text, ".md": load_markdown, ".markdown": load_markdown, ".html": load_html, ".htm": load_html, ".docx": load_docx, ".pptx": load_pptx}
