@@ -76,6 +76,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(_texts(spark, sf_dir), shingle=3, similarity=0.7).pairs()
 
 
+_RUNS = r"""w AS (SELECT item, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM t WHERE text IS NOT NULL), s AS (SELECT item, id, list_distinct(list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS s FROM w WHERE len(ws) >= 3),
+e AS (SELECT item, id, len(s) AS n, unnest(s) AS g FROM s)"""
+
+ORACLE["p3_found"] = f"""WITH t AS (SELECT DISTINCT 'document' AS item, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION SELECT DISTINCT 'chunk', id, text FROM chunks), {_RUNS}
+SELECT a.item, a.id AS id_a, b.id AS id_b FROM e a JOIN e b ON a.item = b.item AND a.g = b.g AND a.id < b.id AND least(a.n, b.n) >= 0.7e0 * greatest(a.n, b.n) GROUP BY 1, 2, 3, a.n, b.n HAVING count(*) >= 0.7e0 * (a.n + b.n - count(*))"""
+
+
 @query
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups at the usual setting: runs of five words, similarity 0.8."""
@@ -87,6 +94,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.duplicates(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "dup_kind")
 
 
+_UP = r"[^/]+/\.\.(/|$)"
+#: As SQL has no fold over a path's parts, '..' is taken out step by step, four deep.
+ORACLE["p6_found"] = rf"""WITH d AS (SELECT DISTINCT doc_id, coalesce(batch_no, 0) AS batch, text, content_hash, source_path FROM documents),
+h AS (SELECT doc_id, batch, text, CASE WHEN regexp_matches(text, '\S') THEN md5(text) END AS tk, coalesce(md5(text), 'null ' || doc_id) AS version,
+  nullif(regexp_replace(regexp_replace(lower(content_hash), '^\s*(sha-?\d+|md5|0x)\s*[:=]?\s*', ''), '[^0-9a-f]', '', 'g'), '') AS hk,
+  '/' || array_to_string(list_filter(string_split(regexp_replace(lower(replace(trim(url_decode(replace(source_path, '+', '%2B'))), '\', '/')), '^[a-z][a-z0-9+.\-]*:/+', ''), '/'), lambda p: p NOT IN ('', '.')), '/') AS p0 FROM d),
+k AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p0, '{_UP}', ''), '{_UP}', ''), '{_UP}', ''), '{_UP}', ''), '/'), '') AS pk FROM h),
+t AS (SELECT 'document' AS item, doc_id AS id, text FROM k), {_RUNS}, near AS (SELECT DISTINCT b.id FROM e a JOIN e b ON a.g = b.g JOIN k x ON x.doc_id = a.id JOIN k y ON y.doc_id = b.id
+  WHERE (x.batch < y.batch OR x.batch = y.batch AND a.id < b.id) AND y.batch >= 1 AND least(a.n, b.n) >= 0.7e0 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.7e0 * (a.n + b.n - count(*)))
+SELECT doc_id, dup_kind FROM (SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM k x WHERE (x.tk = y.tk OR x.hk = y.hk) AND (x.batch < y.batch OR x.batch = y.batch AND x.doc_id < y.doc_id)) THEN 'exact' WHEN doc_id IN (SELECT id FROM near) THEN 'near'
+  WHEN EXISTS (SELECT 1 FROM k x WHERE x.pk = y.pk AND x.version <> y.version AND (x.batch < y.batch OR x.batch = y.batch AND x.doc_id < y.doc_id)) THEN 'path' END AS dup_kind FROM k y WHERE batch >= 1) WHERE dup_kind IS NOT NULL"""
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = vectors.VectorIndex(vectors.usable(table(spark, sf_dir, "chunks").select("id", "embedding"), "id", "embedding", 64), 64)
