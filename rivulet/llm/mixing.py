@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from rivulet.session import materialize
 
-#: Hash ranges of a source and pass, and ranges of finish time, for the running sums.
-RANGES = 1024
+#: Rows of a range, by hash or by finish time, at which the number of ranges is set, and fewest ranges (as a power of two).
+RANGE_ROWS, LEAST_BITS = 65_536, 10
 
 
 def clean_source(col: Column) -> Column:
@@ -52,11 +52,14 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
         budget = int(have.agg(F.min(F.col("tokens") * F.col("most") / F.col("share"))).first()[0] or 0)
     uses = have.select("source", F.least(F.col("most"), F.ceil(F.lit(budget) * F.col("share") / F.col("tokens")).cast("int") + 1).alias("uses"))
     drawn = pool.join(F.broadcast(uses), "source").select("doc_id", "source", "share", "n_tokens", F.explode(F.sequence(F.lit(1), F.greatest("uses", F.lit(1)))).alias("use_no"))
-    shuffled = drawn.withColumn("h", F.xxhash64("doc_id", "use_no", F.lit(seed))).withColumn("range", F.col("use_no").cast("bigint") * RANGES + F.shiftrightunsigned("h", 54))
+    # as many ranges as keep each small, however many rows there are
+    bits = max(LEAST_BITS, (drawn.count() // RANGE_ROWS).bit_length() + 1)
+    ranges = 1 << bits
+    shuffled = drawn.withColumn("h", F.xxhash64("doc_id", "use_no", F.lit(seed))).withColumn("range", F.col("use_no").cast("bigint") * ranges + F.shiftrightunsigned("h", 64 - bits))
     # the hash is signed; its top bits order it as an unsigned number
     lined = running_sum(shuffled, ["source"], [F.shiftrightunsigned("h", 1), "doc_id"], "n_tokens", "so_far").withColumn("finish", F.col("so_far") / F.col("share"))
     lined = lined.where(F.col("finish") <= F.lit(float(budget)) * 1.0 + 1e-6).select("doc_id", "source", "use_no", "n_tokens", "finish")
-    queue = materialize(lined.withColumn("range", F.floor(F.col("finish") * RANGES / max(1, budget)).cast("bigint")).withColumn("all", F.lit(1)), "queue")
+    queue = materialize(lined.withColumn("range", F.floor(F.col("finish") * ranges / max(1, budget)).cast("bigint")).withColumn("all", F.lit(1)), "queue")
     cut = running_sum(queue, ["all"], ["finish", "source", "doc_id", "use_no"], "n_tokens", "total")
     return cut.where(F.col("total") <= budget).select("doc_id", "source", "use_no", "n_tokens", F.round("finish", 3).alias("finish"))
 

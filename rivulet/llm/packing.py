@@ -8,6 +8,8 @@ and pack again, for as long as that saves containers.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from rivulet.session import materialize
 
-#: Items a partition holds on average, and rounds of exchange at most.
-PARTITION_ITEMS, ROUNDS = 20_000, 3
+#: Items a partition holds on average.
+PARTITION_ITEMS = 20_000
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -99,10 +101,11 @@ def _pack(capacity: int):
 _SCHEMA = "doc string, piece int, size int, part string, container bigint, used bigint, n bigint, bound bigint"
 
 
-def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """``(container, doc, piece, size, used)`` of ``(doc, piece, size)``: every item in one container, none over the capacity.
+def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS) -> DataFrame:
+    """``(container, doc, piece, size, used, part, n, bound)`` of ``(doc, piece, size)``: every item in one container, none over the capacity.
 
-    Items of size 0 take no space and share a container.  Equal rows are equal items of their own.  Empty
+    ``n`` and ``bound`` are the containers of the item's partition ``part`` and the fewest that its items need; where they are equal the partition
+    is certified.  Exchange goes on for as long as it saves containers.  Items of size 0 take no space and share a container.  Equal rows are equal items of their own.  Empty
     input gives no container.
     """
     items = materialize(items, "items")
@@ -110,7 +113,7 @@ def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS
     # equal rows get to one partition and are still two items there
     keyed = items.withColumn("part", F.concat(F.lit("0-"), F.pmod(F.xxhash64("doc", "piece"), F.lit(parts)).cast("string")))
     packed = materialize(keyed.groupBy("part").applyInArrow(_pack(capacity), _SCHEMA), "packed")
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):
         gaps = packed.select("part", "n", "bound").distinct().where("n > bound")
         spare = gaps.agg(F.count("*"), F.sum(F.col("n") - F.col("bound"))).first()
         if not spare[0]:
@@ -126,7 +129,15 @@ def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS
         if after >= before:
             break
         packed = materialize(fixed.unionByName(repacked), "packed")
-    return packed.select(F.concat_ws("/", "part", F.col("container").cast("string")).alias("container"), "doc", "piece", "size", "used")
+    # a partition that was exchanged in part is certified by what is left of it
+    return packed.select(F.concat_ws("/", "part", F.col("container").cast("string")).alias("container"), "doc", "piece", "size", "used", "part", "n", "bound")
+
+
+def certificate(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row ``(n_containers, n_partitions, n_certified, least, gap)``: ``least`` containers are needed by the total size alone, ``gap`` more are used."""
+    one = packed.groupBy("part").agg(F.count_distinct("container").alias("used"), F.first("n").alias("n"), F.first("bound").alias("bound"), F.sum("size").alias("size"))
+    least = F.ceil(F.sum("size") / capacity)
+    return one.agg(F.sum("used").alias("n_containers"), F.count("*").alias("n_partitions"), F.count_if(F.col("n") == F.col("bound")).alias("n_certified"), least.alias("least"), (F.sum("used") - least).alias("gap"))
 
 
 def containers(packed: DataFrame, capacity: int) -> DataFrame:

@@ -163,6 +163,12 @@ def p8_small_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_packed(spark, sf_dir, SMALL_CONTAINER), SMALL_CONTAINER)
 
 
+@query
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, partitions certified by their lower bound, and the gap to the bound of the total size."""
+    return packing.certificate(_packed(spark, sf_dir, CONTAINER), CONTAINER)
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tokens.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id", "source"], "text"), table(spark, sf_dir, "mix_targets"))
 
