@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators.lexical import block_search
+
 #: Queries and vectors that one task compares at a time, and least number of vector blocks.
 QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCKS = 4_096, 65_536, 8
 
@@ -59,9 +61,10 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, min_score: floa
 
 
 def sparse_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: dot product of sparse maps ``w`` (position to weight), entries of 0 and less dropped."""
-    entries = lambda df, key, name: df.select(key, F.explode("w").alias("at", name)).where(f"{name} > 0")
-    pairs = entries(queries, "query_id", "qw").join(entries(vectors, "chunk_id", "cw"), "at")
-    scored = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("cw")), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    """``(query_id, chunk_id, score, rank)``: dot product of sparse maps ``w`` (position to weight), entries of 0 and less dropped.
+
+    Positions are the terms of a block search, so a position that nearly all vectors hold is spread over their blocks.
+    """
+    entries = lambda df, key, name: df.select(key, F.explode("w").alias("t", name)).withColumn("t", F.col("t").cast("bigint"))
+    n = vectors.count()
+    return block_search(entries(queries, "query_id", "qtf"), entries(vectors, "chunk_id", "w"), n, k)

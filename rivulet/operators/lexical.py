@@ -186,22 +186,29 @@ def block_best(starts: np.ndarray, chunk: np.ndarray, weight: np.ndarray, lists:
 
 
 def search(index: LexicalIndex, terms: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: the k best chunks of each query, among ``only(chunk_id)`` where given.
+    """``(query_id, chunk_id, score, rank)``: the k best chunks of each query, among ``only(chunk_id)`` where given."""
+    weighted = _weights(index, terms)
+    if only is not None:
+        weighted = weighted.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    held = weighted.select("chunk_id", F.xxhash64("term").alias("t"), "w")
+    return block_search(terms.select("query_id", F.xxhash64("term").alias("t"), "qtf"), held, index.corpus.first()["n_chunks"], k)
+
 
-    Postings of the asked terms are laid into blocks of chunks, queries into blocks too, and every block of chunks meets every
+def block_search(queries: DataFrame, held: DataFrame, n_chunks: int, k: int) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: the k largest sums of ``qtf * w`` over the terms that ``queries(query_id, t, qtf)`` and ``held(chunk_id, t, w)`` share.
+
+    Entries are laid into blocks of chunks, queries into blocks too, and every block of chunks meets every
     block of queries; a task adds up scores in arrays and gives k rows a query.  So no row per pair of query and chunk is
-    ever shuffled, and neither side is collected or broadcast.
+    ever shuffled, and neither side is collected or broadcast.  Weights of 0 and less don't count; each pair of key and term occurs once.
     """
-    weighted = _weights(index, terms).where("w > 0")
-    if only is not None:
-        weighted = weighted.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    n_chunks = index.corpus.first()["n_chunks"]
+    held, terms = held.where("w > 0"), queries.where("qtf > 0")
     n_queries = terms.agg(F.approx_count_distinct("query_id")).first()[0]
     blocks, asks = max(LEAST_BLOCKS, -(-n_chunks // CHUNK_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = weighted.select(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), every(asks).alias("ask"), F.xxhash64("term").alias("t"), "chunk_id", "w")
-    asked = terms.select(F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int").alias("ask"), every(blocks).alias("block"), "query_id", F.xxhash64("term").alias("t"), F.col("qtf").cast("double").alias("qtf"))
-    query_type, chunk_type = terms.schema["query_id"].dataType.simpleString(), index.postings.schema["chunk_id"].dataType.simpleString()
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    right_side = held.select(own("chunk_id", blocks).alias("block"), every(asks).alias("ask"), "t", "chunk_id", F.col("w").cast("double").alias("w"))
+    left_side = terms.select(own("query_id", asks).alias("ask"), every(blocks).alias("block"), "query_id", "t", F.col("qtf").cast("double").alias("qtf"))
+    query_type, chunk_type = queries.schema["query_id"].dataType.simpleString(), held.schema["chunk_id"].dataType.simpleString()
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, chunks = left.column("query_id").combine_chunks().dictionary_encode(), right.column("chunk_id").combine_chunks().dictionary_encode()
@@ -232,7 +239,7 @@ def search(index: LexicalIndex, terms: DataFrame, k: int, only: DataFrame | None
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"query_id": queries.dictionary.take(pa.array(join(rows, np.int64))), "chunk_id": names.take(pa.array(join(found, np.int64))), "score": pa.array(join(scores, np.float64))})
 
-    scored = asked.groupBy("block", "ask").cogroup(held.groupBy("block", "ask")).applyInArrow(best, f"query_id {query_type}, chunk_id {chunk_type}, score double")
+    scored = left_side.groupBy("block", "ask").cogroup(right_side.groupBy("block", "ask")).applyInArrow(best, f"query_id {query_type}, chunk_id {chunk_type}, score double")
     # k rows a query, written once: what follows often reads them several times
     return materialize(top_k(scored, k), "found")
 
