@@ -81,4 +81,4 @@ def test_chunks_fit_and_lose_no_letter(text, size):
 def test_headings_skip_fences():
     text = "# One\n```\n# no\n```\nbody\n## Two #\n~~~\n# never closed"
     assert headings(text) == [(0, "One"), (5, "Two #")]
-    assert [t for t, _ in sections("lead\n# A\nx\n# B\n\n# C\ny")] == [None, "A", "C"]
+    assert [t for t, _ in sections("lead\n# A\nx\n# B\n\n# C\ny")] == [None, "A", "B", "C"]

@@ -33,7 +33,7 @@ def test_files_become_rows(spark, tmp_path):
     assert got["a.html"].content == "T & U\nHi\nthere" and got["a.html"].title == "T & U"
     assert got["b.md"].sections == ["One"] and got["c.txt"].content == "café"
     assert (got["d.docx"].content, got["d.docx"].sections) == ("Top\n\nBody", ["Top"])
-    assert got["e.pptx"].slides[0].title == "Head" and got["e.pptx"].content == "Head\nText"
+    assert got["e.pptx"].slides[0].title == "Head" and got["e.pptx"].content == "Head\n\nText"
     assert got["bad.docx"].error.startswith("BadZipFile") and got["f.pdf"].error == "unsupported type"
 
 
