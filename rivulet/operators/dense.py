@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.lexical import block_search
+from rivulet.session import materialize
 
 #: Queries and vectors that one task compares at a time, and least number of vector blocks.
 QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCKS = 4_096, 65_536, 8
@@ -57,7 +58,8 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, min_score: floa
 
     scored = left.groupBy("ask", "block").cogroup(right.groupBy("ask", "block")).applyInArrow(score, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    # k rows a query, written once: in a plan that reads a Python stage twice, it would run twice
+    return materialize(scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k), "found")
 
 
 def sparse_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
