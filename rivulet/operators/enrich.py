@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import entity_names
+from rivulet.operators.lexical import word_search
+from rivulet.session import materialize, release
 
 #: Chunk types and the indexes they go to.
 VECTOR_ONLY = ("hype_question", "summary")
@@ -49,10 +51,14 @@ def mentions(chunks: DataFrame) -> DataFrame:
 
 
 def entity_hits(queries: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: share of a query's entities that a chunk mentions."""
-    asked = queries.select("query_id", F.explode(entity_names(F.col("query"))).alias("entity"))
+    """``(query_id, chunk_id, score, rank)``: share of a query's entities that a chunk mentions.
+
+    A search whose words are the entities, all of one weight: a row per query and chunk that share a common name is never made.
+    """
+    asked = queries.select("query_id", F.explode(entity_names(F.col("query"))).alias("entity")).distinct()
+    held = materialize(edges.groupBy("chunk_id").agg(F.collect_set(F.xxhash64("entity")).alias("ts")), "mentions")
+    terms = asked.select("query_id", F.xxhash64("entity").alias("t"), F.lit(1.0).alias("qtf"), F.lit(1.0).alias("idf"))
+    found = word_search(terms, held, held.count(), k)
+    release(held)
     count = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = asked.join(edges, "entity").groupBy("query_id", "chunk_id").agg(F.count_distinct("entity").alias("hits")).join(count, "query_id")
-    scored = shared.select("query_id", "chunk_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return found.join(count, "query_id").select("query_id", "chunk_id", F.round(F.col("score") / F.col("n"), 6).alias("score"), "rank")

@@ -82,3 +82,14 @@ def test_headings_skip_fences():
     text = "# One\n```\n# no\n```\nbody\n## Two #\n~~~\n# never closed"
     assert headings(text) == [(0, "One"), (5, "Two #")]
     assert [t for t, _ in sections("lead\n# A\nx\n# B\n\n# C\ny")] == [None, "A", "B", "C"]
+
+
+def test_entity_hits_count_an_entity_once_and_join_no_postings(spark, monkeypatch):
+    queries = spark.createDataFrame([("a", "Where is Zol?"), ("a", "Zol in Bern"), ("b", "The The"), ("c", "nothing")], "query_id string, query string")
+    texts = [(f"c{i:02d}", "d", "The Zol." if i % 3 else "The Bern, Zol") for i in range(20)] + [("c00", "e", "The end")]
+    edges = enrich.mentions(spark.createDataFrame(texts, "chunk_id string, document_id string, text string"))
+    written = []
+    monkeypatch.setattr(enrich, "materialize", lambda df, name, write=enrich.materialize: written.append(name) or write(df, name))
+    got = sorted(map(tuple, enrich.entity_hits(queries, edges, 3).collect()))
+    assert written == ["mentions"]
+    assert got == [("a", "c00", 0.666667, 1), ("a", "c03", 0.666667, 2), ("a", "c06", 0.666667, 3), ("b", "c00", 1.0, 1), ("b", "c01", 1.0, 2), ("b", "c02", 1.0, 3)]
