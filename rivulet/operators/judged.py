@@ -6,10 +6,16 @@ given without retrieval.  A judge's answer is the column ``response``; one that
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.answers import json_object
+from rivulet.operators.lexical import block_count, block_labels
+from rivulet.session import materialize
 
 #: Thresholds that a score must pass.
 THRESHOLDS = {"faithfulness": 0.8, "relevance": 0.75, "precision": 0.7, "hallucination": 0.1}
@@ -73,29 +79,71 @@ def modality_gate(samples: DataFrame, min_samples: dict[str, int], floor: dict[s
     return one.select("n_table", "n_figure", status.otherwise("PASSED").alias("status"))
 
 
+#: A word for the search of answers; texts and answers are divided by the same rule.
+WORD = re.compile(r"[^\W_]+")
+
+
+def holding(needles: list[list[str]], texts: list[str]) -> list[list[int]]:
+    """For each list of needles the places of the texts that hold at least one of them.
+
+    A needle's word that stands whole within it is a word of every text that holds it: the rarest such word gives the texts to look through.  A needle
+    without one is looked for in the texts with a word that holds its longest piece; one without any word in all texts.
+    """
+    every = list(dict.fromkeys(n for group in needles for n in group))
+    inner = {n: [m.group() for m in WORD.finditer(n) if m.start() and m.end() < len(n)] for n in every}
+    pieces = {n: max(WORD.findall(n), key=len, default="") for n in every if not inner[n]}
+    words = [set(WORD.findall(t)) for t in texts]
+    by_piece: dict[str, list[str]] = {}
+    if pieces:
+        vocabulary = "\n".join(["", *set().union(*words), ""])
+        for piece in set(pieces.values()) - {""}:
+            held, at = by_piece.setdefault(piece, []), vocabulary.find(piece)
+            while at >= 0:
+                end = vocabulary.index("\n", at)
+                held.append(vocabulary[vocabulary.rindex("\n", 0, at) + 1 : end])
+                at = vocabulary.find(piece, end)
+    asked = {w for ws in inner.values() for w in ws}.union(*by_piece.values())
+    places: dict[str, list[int]] = {}
+    for i, own in enumerate(words):
+        for w in own & asked:
+            places.setdefault(w, []).append(i)
+    found = {}
+    for n in every:
+        if inner[n]:
+            near = min((places.get(w, []) for w in inner[n]), key=len)
+        else:
+            near = sorted({i for w in by_piece[pieces[n]] for i in places[w]}) if pieces[n] else range(len(texts))
+        found[n] = [i for i in near if n in texts[i]]
+    return [found[group[0]] if len(group) == 1 else sorted({i for n in group for i in found[n]}) for group in needles]
+
+
 def remap_goldens(goldens: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(row_id, chunk_id)``: golden ids that exist, else the chunks whose text holds the answer, without case.
 
-    ``goldens`` is ``(row_id, ids, answer)``, ``chunks`` ``(chunk_id, text)``.  Candidates come from a join on the rarest word that stands whole
-    within the answer; an answer without one is joined, by three characters, to the words of the vocabulary that hold its
-    longest piece, and so to their chunks.  ``contains`` decides.
+    ``goldens`` is ``(row_id, ids, answer)``, ``chunks`` ``(chunk_id, text)``.  Texts are laid into blocks, one row a chunk, and all different answers go
+    to every block; a task gives only what ``holding`` confirms, so neither words nor candidates are shuffled.
     """
-    there = goldens.select("row_id", F.explode("ids").alias("chunk_id")).where("chunk_id IS NOT NULL").distinct().join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("row_id", "chunk_id")
-    lost = goldens.join(there.select("row_id").distinct(), "row_id", "left_anti").select("row_id", F.lower(F.regexp_replace("answer", r"^\s+|\s+$", "")).alias("needle")).where("needle != ''").distinct()
-    text = chunks.select("chunk_id", F.lower("text").alias("text")).where("text IS NOT NULL")
-    # marks are words of one character
-    parts = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
-    words = text.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(parts), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    inner = F.regexp_extract_all("needle", F.lit(r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"), F.lit(0))
-    keyed = lost.select("row_id", "needle", inner.alias("inner"))
-    asked = keyed.where("size(inner) > 0").select("row_id", "needle", F.explode(F.array_distinct("inner")).alias("word")).join(counts, "word", "left")
-    rarest = asked.groupBy("row_id", "needle").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
-    piece = F.array_max(F.transform(F.regexp_extract_all("needle", F.lit(parts), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    short = keyed.where("size(inner) = 0").select("row_id", "needle", piece.alias("piece")).withColumn("three", F.left("piece", F.lit(3)))
-    runs = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))).otherwise(F.array().cast("array<string>"))))
-    vocabulary = counts.select("word", F.explode(F.array_distinct(runs)).alias("three"))
-    by_word = short.join(vocabulary, "three").where(F.contains(F.col("word"), F.col("piece"))).select("row_id", "needle", "word")
-    near = rarest.select("row_id", "needle", "word").unionByName(by_word).join(words, "word").select("row_id", "needle", "chunk_id").distinct()
-    found = near.join(text, "chunk_id").where(F.contains(F.col("text"), F.col("needle"))).select("row_id", "chunk_id")
-    return there.unionByName(found).distinct()
+    held = materialize(chunks.select("chunk_id", F.lower("text").alias("text")), "texts")
+    there = goldens.select("row_id", F.explode("ids").alias("chunk_id")).where("chunk_id IS NOT NULL").distinct().join(held.select("chunk_id"), "chunk_id", "left_semi").select("row_id", "chunk_id")
+    there = materialize(there, "there")
+    lost = goldens.join(there.select("row_id").distinct(), "row_id", "left_anti").select("row_id", F.lower(F.regexp_replace("answer", r"^\s+|\s+$", "")).alias("needle")).where("needle != ''")
+    needles = lost.groupBy("row_id").agg(F.sort_array(F.collect_set("needle")).alias("needles"))
+    asked = materialize(needles.groupBy("needles").agg(F.min("row_id").alias("ask"), F.collect_list("row_id").alias("same")), "asked")
+    n = block_count(held.sparkSession, held.count())
+    labels = F.array(*[F.lit(x) for x in block_labels(held.sparkSession, n)])
+    right_side = held.where("text IS NOT NULL").select(F.get(labels, F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")).alias("slot"), "chunk_id", "text").repartition(n, "slot")
+    left_side = asked.select(F.explode(labels).alias("slot"), "ask", "needles").repartition(n, "slot")
+    row_type, chunk_type = asked.schema["ask"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.column("chunk_id").combine_chunks().dictionary_encode()
+        code, places = names.indices.to_numpy(zero_copy_only=False), [np.empty(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            places += [np.unique(code[np.array(at, np.int64)]) for at in holding(left.column("needles").to_pylist(), right.column("text").to_pylist())]
+        ends = pa.array(np.cumsum([len(at) for at in places]).astype(np.int32))
+        asks = left.column("ask").combine_chunks()
+        return pa.table({"ask": asks if len(places) > 1 else asks[:0], "chunk_ids": pa.ListArray.from_arrays(ends, names.dictionary.take(pa.array(np.concatenate(places))))})
+
+    found = left_side.groupBy("slot").cogroup(right_side.groupBy("slot")).applyInArrow(look, f"ask {row_type}, chunk_ids array<{chunk_type}>").where("size(chunk_ids) > 0")
+    found = found.join(asked.select("ask", "same"), "ask").select("chunk_ids", F.explode("same").alias("row_id")).select("row_id", F.explode("chunk_ids").alias("chunk_id"))
+    return there.unionByName(found)

@@ -157,6 +157,6 @@ def test_a_block_adds_lists_that_queries_share_once(monkeypatch):
 
 
 def test_each_task_of_a_search_gets_one_block(spark):
-    labels = lexical._labels(spark, 7)
+    labels = lexical.block_labels(spark, 7)
     parts = spark.createDataFrame([(x,) for x in labels], "slot int").repartition(7, "slot").select(F.spark_partition_id()).collect()
     assert sorted(r[0] for r in parts) == list(range(7))

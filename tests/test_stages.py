@@ -46,6 +46,20 @@ def test_remapped_goldens(spark):
     assert sorted(map(tuple, judged.remap_goldens(goldens, chunks).collect())) == [(1, "c2"), (2, "c1"), (2, "c2"), (3, "c1"), (6, "c4")]
 
 
+def test_remapping_gives_no_row_per_candidate(monkeypatch, spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"on day {i} of 3.{i} hours no. {i} the Crew waits_here") for i in range(60)] + [("c7", "another text of c7: hours no. 7 the")], "chunk_id string, text string")
+    answers = ["3.5", "hours no. 7 the", "No.", "aits_he", ".", "day 5", "of 3.5 h", "_", "ay", "w 1", "Crew"]
+    goldens = spark.createDataFrame([(i, ["gone"], a) for i, a in enumerate(answers)] + [(2, None, "day 3 of"), (20, None, "No.")], "row_id int, ids array<string>, answer string")
+    texts = [(r.chunk_id, r.text.lower()) for r in chunks.collect()]
+    want = {(g.row_id, c) for g in goldens.collect() for c, t in texts if g.answer.lower() in t}
+    given = []
+    monkeypatch.setattr(judged, "materialize", lambda df, name, write=judged.materialize: given.append(name) or write(df, name))
+    out = judged.remap_goldens(goldens, chunks)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and "word" not in plan and given == ["texts", "there", "asked"]
+    assert judged.holding([["a b c"], ["zz"], ["b", "."]], ["x a b c", "a. b", "zzz"]) == [[0], [2], [0, 1]]
+
+
 def test_rerank_falls_back(spark):
     hits = spark.createDataFrame([("a", "x", 1, 0.1), ("a", "y", 2, 0.9), ("b", "x", 1, 0.1), ("b", "y", 2, None)], "query_id string, chunk_id string, rank int, rescore double")
     assert sorted((r.query_id, r["rank"], r.chunk_id) for r in stages.reranked(hits, 2).collect()) == [("a", 1, "y"), ("a", 2, "x"), ("b", 1, "x"), ("b", 2, "y")]
