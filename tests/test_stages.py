@@ -63,3 +63,11 @@ def test_remapping_gives_no_row_per_candidate(monkeypatch, spark):
 def test_rerank_falls_back(spark):
     hits = spark.createDataFrame([("a", "x", 1, 0.1), ("a", "y", 2, 0.9), ("b", "x", 1, 0.1), ("b", "y", 2, None)], "query_id string, chunk_id string, rank int, rescore double")
     assert sorted((r.query_id, r["rank"], r.chunk_id) for r in stages.reranked(hits, 2).collect()) == [("a", 1, "y"), ("a", 2, "x"), ("b", 1, "x"), ("b", 2, "y")]
+
+
+def test_fused_hits_are_written_once(monkeypatch, spark):
+    from rivulet.plans import stages as plans
+
+    written = []
+    monkeypatch.setattr(plans, "materialize", lambda df, name, write=plans.materialize: written.append(name) or write(df, name))
+    assert plans.technique_matrix(spark, "/root/testdata/sf0.001").count() == 5 and written == ["fused"]
