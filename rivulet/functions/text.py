@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what counts as white space between words (Unicode white space).
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: SPACE for splitting: nearly all characters fail the first range, without a look at the rest of the class.
+_BREAK = rf"[\x00-\x20\x{{85}}-\x{{3000}}&&{SPACE}]"
 
 
 def strip(text: Column) -> Column:
@@ -16,7 +18,7 @@ def strip(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case words between white space; null gives null, blank an empty array."""
-    return F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), f"{_BREAK}+"), "")
 
 
 def token_estimate(text: Column) -> Column:

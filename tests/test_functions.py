@@ -78,3 +78,12 @@ def test_streams_equal_batches(spark, tmp_path):
     limited = limiter.limit_stream(stream, 5).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     limited.awaitTermination(120)
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, limiter.rate_limit(df, 5).collect()))
+
+
+def test_words_break_at_every_white_space_and_without_a_lambda(spark):
+    rows = spark.createDataFrame([(i, chr(i)) for i in range(1, 65536) if not 0xD800 <= i < 0xE000], "id int, c string")
+    whole = F.filter(F.split(F.lower(F.concat(F.lit("A"), "c", F.lit("b"), "c")), f"{T.SPACE}+"), lambda w: w != "")
+    split = T.tokenize(F.concat(F.lit("A"), "c", F.lit("b"), "c"))
+    assert rows.where(~whole.eqNullSafe(split)).count() == 0
+    assert {r.id for r in rows.where(F.size(split) == 2).collect()} >= {9, 32, 0x1C, 0x85, 0xA0, 0x2028, 0x3000}
+    assert "lambda" not in rows.select(split.alias("w"))._jdf.queryExecution().analyzed().toString()

@@ -160,3 +160,12 @@ def test_each_task_of_a_search_gets_one_block(spark):
     labels = lexical.block_labels(spark, 7)
     parts = spark.createDataFrame([(x,) for x in labels], "slot int").repartition(7, "slot").select(F.spark_partition_id()).collect()
     assert sorted(r[0] for r in parts) == list(range(7))
+
+
+def test_shuffles_of_a_build_and_a_search_are_freed(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(lexical, "free_shuffles", freed.append)
+    index = lexical.build_index(spark.createDataFrame(DOCS, "chunk_id string, text string"))
+    assert len(freed) == 1
+    lexical.search(index, lexical.query_terms(spark.createDataFrame([("q", "cat")], "query_id string, query string")), 2)
+    assert len(freed) == 2
