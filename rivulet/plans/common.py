@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import SPACE, strip
@@ -21,6 +21,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "text", "chunk_type", "modality", "parent_id", "page_no", "created_at", "deleted_at").distinct()
 
 
+def brief(spark: SparkSession, sf_dir: str, **made: Column) -> DataFrame:
+    """``chunks`` with columns made from the text in its place.  Texts are told apart by digests, so none is shuffled."""
+    digest = F.unhex(F.md5(F.col("text"))).alias("_digest")
+    rows = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", digest, "chunk_type", "modality", "parent_id", "page_no", "created_at", "deleted_at", *[c.alias(name) for name, c in made.items()])
+    return rows.distinct().drop("_digest")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden questions with text, once each."""
     return table(spark, sf_dir, "retrieval_dataset").select(F.col("id").alias("query_id"), "query").where(strip(F.col("query")) != "").distinct()

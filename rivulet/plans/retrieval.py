@@ -207,6 +207,12 @@ def _hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return C.bm25(spark, d, k).join(C.chunks(spark, d), "chunk_id")
 
 
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    """Hits with parents, digests in place of all texts that are not blank."""
+    chunks = C.brief(spark, d, text=F.when(F.trim("text") == "", "").otherwise(F.md5("text")))
+    return context.with_parents(C.bm25(spark, d, 10).join(chunks, "chunk_id"), chunks.select("chunk_id", "text"))
+
+
 _WITH_HITS = f"{HITS}, hits AS (SELECT h.*, document_id, chunk_index, text, chunk_type, parent_id, page_no FROM ({C.sql_top(10)}) h JOIN ch USING (chunk_id))"
 _ENRICHED = """e AS (SELECT h.*, coalesce(trim(p.text) <> '', false) AS enriched, CASE WHEN trim(p.text) <> '' THEN p.text ELSE h.text END AS context FROM hits h LEFT JOIN ch p ON p.chunk_id = h.parent_id)"""
 
@@ -231,7 +237,7 @@ def rse_islands(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_WITH_HITS}, {_ENRICHED}, k AS (SELECT query_id, CASE WHEN enriched THEN parent_id ELSE chunk_id END AS passage, rank, chunk_id FROM e)
 SELECT query_id, passage, min(rank) AS first_rank, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids FROM k GROUP BY 1, 2""")
 def passage_groups(spark: SparkSession, d: str) -> DataFrame:
-    hits = context.with_parents(_hits(spark, d), C.chunks(spark, d).select("chunk_id", "text"))
+    hits = _parents(spark, d)
     key = context.passage_key(F.col("parent_id"), F.col("enriched"), F.array().cast("array<string>"), F.col("chunk_id"))
     return context.passages(hits.withColumn("key", key), "key")
 
