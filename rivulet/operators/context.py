@@ -19,8 +19,8 @@ def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def without_redundant_parents(hits: DataFrame) -> DataFrame:
     """Hits that are not themselves the parent of an enriched hit of the same query."""
-    gone = hits.where("enriched").select("query_id", F.col("parent_id").alias("chunk_id")).distinct()
-    return hits.join(gone, ["query_id", "chunk_id"], "left_anti")
+    gone = F.collect_set(F.when(F.col("enriched") & F.col("query_id").isNotNull(), F.col("parent_id"))).over(Window.partitionBy("query_id"))
+    return hits.withColumn("_gone", gone).where(~F.coalesce(F.array_contains("_gone", F.col("chunk_id")), F.lit(False))).drop("_gone")
 
 
 def islands(hits: DataFrame) -> DataFrame:

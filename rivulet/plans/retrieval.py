@@ -224,7 +224,7 @@ def parent_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_WITH_HITS}, {_ENRICHED} SELECT query_id, chunk_id, rank FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.enriched AND b.query_id = a.query_id AND b.parent_id = a.chunk_id)")
 def redundant_parent_drop(spark: SparkSession, d: str) -> DataFrame:
-    return context.without_redundant_parents(context.with_parents(_hits(spark, d), C.chunks(spark, d).select("chunk_id", "text"))).select("query_id", "chunk_id", "rank")
+    return context.without_redundant_parents(_parents(spark, d)).select("query_id", "chunk_id", "rank")
 
 
 @query(f"""{_WITH_HITS}, m AS (SELECT *, CASE WHEN chunk_index = lag(chunk_index) OVER w + 1 THEN 0 ELSE 1 END AS new FROM hits WHERE chunk_index IS NOT NULL AND chunk_type IS DISTINCT FROM 'proposition' WINDOW w AS (PARTITION BY query_id, document_id, parent_id ORDER BY chunk_index, rank)),

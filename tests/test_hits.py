@@ -38,3 +38,10 @@ def test_passages_of_hits_move_no_text(spark, tmp_path, monkeypatch):
     groups = retrieval.passage_groups(spark, _tables(spark, tmp_path))
     # both texts of c are the same passage, its parent; a blank parent is none
     assert sorted((r.passage, r.chunk_ids) for r in groups.collect()) == [("k", "k"), ("p", "c,c,p")]
+
+
+def test_redundant_parents_are_found_in_one_pass_over_the_hits(spark):
+    rows = [("q", "k", "p", True), ("q", "p", None, False), ("q", "s", "p", False), (None, "k", "p", True), (None, "p", None, False), ("r", "p", None, None)]
+    out = context.without_redundant_parents(spark.createDataFrame(rows, "query_id string, chunk_id string, parent_id string, enriched boolean"))
+    assert sorted((str(r.query_id), r.chunk_id) for r in out.collect()) == [("None", "k"), ("None", "p"), ("q", "k"), ("q", "s"), ("r", "p")]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
