@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,33 +105,46 @@ def merge_segments(hits: DataFrame, max_tokens: int) -> DataFrame:
     return merged.select(*columns).unionByName(single.select(*columns))
 
 
+def within(text: str, budget: int) -> Column:
+    """What ``cut`` reads of a text at this budget or less: its characters, and one more that tells that it is longer."""
+    return F.left(text, F.lit(4 * max(0, budget) + 1))
+
+
 def compress(hits: DataFrame, budget: int) -> DataFrame:
     """Passages in rank order cut to what is left of a query's token budget; chunks of a passage already taken are free.
 
     ``(query_id, chunk_id, text, rank)``; what no longer fits is left out.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, taken, rows = budget, {}, []
-        for r in group.sort_values("rank").itertuples():
-            if r.passage not in taken:
-                if left <= 0:
-                    break
-                text = cut(r.text, left)
-                if not text:
-                    continue
-                taken[r.passage] = text
-                left -= tokens(text)
-            rows.append((r.query_id, r.chunk_id, taken[r.passage], r.rank))
-        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "text", "rank"])
-
-    return hits.select("query_id", "chunk_id", "passage", "text", "rank").groupBy("query_id").applyInPandas(run, "query_id string, chunk_id string, text string, rank bigint")
-
-
-def fits_whole(hits: DataFrame, budget: int) -> DataFrame:
-    """Hits whose passages fit the budget uncut, up to the first that does not: a running sum in rank order."""
+    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("text", pa.string()), ("rank", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for query_id, group in zip(batch.column("query_id").to_pylist(), batch.column("hits").to_pylist()):
+                left, taken = budget, {}
+                for r in group:
+                    if r["passage"] not in taken:
+                        if left <= 0:
+                            break
+                        text = cut(r["text"] or "", left)
+                        if not text:
+                            continue
+                        taken[r["passage"]] = text
+                        left -= tokens(text)
+                    rows.append((query_id, r["chunk_id"], taken[r["passage"]], r["rank"]))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema)
+
+    row = F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), "passage", within("text", budget).alias("text"))
+    groups = hits.groupBy(F.col("query_id").cast("string").alias("query_id")).agg(F.array_sort(F.collect_list(row)).alias("hits"))
+    return groups.mapInArrow(run, "query_id string, chunk_id string, text string, rank bigint")
+
+
+def fits_whole(hits: DataFrame, budget: int, size: Column | None = None) -> DataFrame:
+    """Hits whose passages fit the budget uncut, up to the first that does not: a running sum in rank order of ``size``, else of the text's tokens."""
+    size = token_estimate(F.col("text")) if size is None else size
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return hits.withColumn("used", F.sum(token_estimate(F.col("text"))).over(order)).where(F.col("used") <= budget)
+    return hits.withColumn("used", F.sum(size).over(order)).where(F.col("used") <= budget)
 
 
 def mmr(hits: DataFrame, weight: float, k: int) -> DataFrame:

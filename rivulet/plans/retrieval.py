@@ -249,8 +249,11 @@ def rse_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def compression_budget(spark: SparkSession, d: str) -> DataFrame:
-    hits = context.with_parents(_hits(spark, d), C.chunks(spark, d).select("chunk_id", "text"))
-    return context.compress(hits.select("query_id", "chunk_id", F.when(F.col("enriched"), F.col("parent_id")).otherwise(F.col("chunk_id")).alias("passage"), F.col("context").alias("text"), "rank"), 400)
+    passage = F.when(F.col("enriched"), F.col("parent_id")).otherwise(F.col("chunk_id"))
+    hits = _parents(spark, d).select("query_id", "chunk_id", passage.alias("passage"), F.col("context").alias("digest"), "rank")
+    # texts move once, and of a long one only what the budget can take
+    texts = table(spark, d, "chunks").where("text IS NOT NULL").groupBy(F.col("id").alias("passage"), F.md5("text").alias("digest")).agg(F.first(context.within("text", 400)).alias("text"))
+    return context.compress(hits.join(texts, ["passage", "digest"]), 400)
 
 
 @query(f"""{_WITH_HITS}, u AS (SELECT query_id, chunk_id, rank, CAST(sum(greatest(1, length(text) // 4)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM hits) SELECT * FROM u WHERE used <= 600""")

@@ -45,3 +45,12 @@ def test_redundant_parents_are_found_in_one_pass_over_the_hits(spark):
     out = context.without_redundant_parents(spark.createDataFrame(rows, "query_id string, chunk_id string, parent_id string, enriched boolean"))
     assert sorted((str(r.query_id), r.chunk_id) for r in out.collect()) == [("None", "k"), ("None", "p"), ("q", "k"), ("q", "s"), ("r", "p")]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compression_takes_no_more_of_a_text_than_the_budget_and_starts_no_task_per_query(spark):
+    long = "word one. " * 50
+    rows = [("q", "a", "a", long, 1), ("q", "b", "b", "rest.", 2), ("r", "n", "n", None, 1), ("r", "c", "c", "short", 2), ("r", "d", "c", "short", 3)]
+    out = context.compress(spark.createDataFrame(rows, "query_id string, chunk_id string, passage string, text string, rank int"), 20)
+    assert sorted((r.query_id, r.chunk_id, r.text, r["rank"]) for r in out.collect()) == [("q", "a", context.cut(long, 20), 1), ("q", "b", "rest", 2), ("r", "c", "short", 2), ("r", "d", "short", 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and ", 81)" in plan
