@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.text import content_hash, context_header, entity_names
+from rivulet.functions.text import content_hash, context_header, entity_names, token_estimate
 from rivulet.operators import context, dense, enrich, fusion, lexical
 from rivulet.plans import common as C
 from rivulet.sources.tables import table
@@ -258,7 +258,8 @@ def compression_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_WITH_HITS}, u AS (SELECT query_id, chunk_id, rank, CAST(sum(greatest(1, length(text) // 4)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM hits) SELECT * FROM u WHERE used <= 600""")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return context.fits_whole(_hits(spark, d), 600).select("query_id", "chunk_id", "rank", "used")
+    hits = C.bm25(spark, d, 10).join(C.brief(spark, d, tokens=token_estimate(F.col("text"))), "chunk_id")
+    return context.fits_whole(hits, 600, F.col("tokens")).select("query_id", "chunk_id", "rank", "used")
 
 
 @query(f"""WITH {C.SQL_CHUNKS}, doc AS (SELECT DISTINCT id AS document_id, source FROM documents)

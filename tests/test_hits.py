@@ -54,3 +54,8 @@ def test_compression_takes_no_more_of_a_text_than_the_budget_and_starts_no_task_
     assert sorted((r.query_id, r.chunk_id, r.text, r["rank"]) for r in out.collect()) == [("q", "a", context.cut(long, 20), 1), ("q", "b", "rest", 2), ("r", "c", "short", 2), ("r", "d", "short", 3)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and ", 81)" in plan
+
+
+def test_a_budget_counts_sizes_that_are_given(spark):
+    hits = spark.createDataFrame([("q", "a", 1, 3), ("q", "b", 2, 4), ("q", "c", 3, 1)], "query_id string, chunk_id string, rank bigint, tokens bigint")
+    assert [(r.chunk_id, r.used) for r in context.fits_whole(hits, 7, F.col("tokens")).orderBy("rank").collect()] == [("a", 3), ("b", 7)]
