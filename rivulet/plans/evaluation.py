@@ -165,7 +165,7 @@ rep AS (SELECT query_id, passage, arg_min(chunk_id, rank) AS chunk_id FROM p GRO
 SELECT p.query_id, p.passage, p.chunk_id, p.rank, grade FROM p JOIN kept USING (query_id, passage)""")
 def relevance_gate(spark: SparkSession, d: str) -> DataFrame:
     top, grades = _graded(spark, d)
-    kinds = C.chunks(spark, d).select("chunk_id", F.coalesce(F.when(F.col("chunk_type") == "child", F.col("parent_id")), "chunk_id").alias("passage"))
+    kinds = C.brief(spark, d).select("chunk_id", F.coalesce(F.when(F.col("chunk_type") == "child", F.col("parent_id")), "chunk_id").alias("passage"))
     return quality.relevance_gate(top.join(kinds, "chunk_id"), grades, 0.5).select("query_id", "passage", "chunk_id", "rank", "grade")
 
 

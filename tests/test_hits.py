@@ -59,3 +59,8 @@ def test_compression_takes_no_more_of_a_text_than_the_budget_and_starts_no_task_
 def test_a_budget_counts_sizes_that_are_given(spark):
     hits = spark.createDataFrame([("q", "a", 1, 3), ("q", "b", 2, 4), ("q", "c", 3, 1)], "query_id string, chunk_id string, rank bigint, tokens bigint")
     assert [(r.chunk_id, r.used) for r in context.fits_whole(hits, 7, F.col("tokens")).orderBy("rank").collect()] == [("a", 3), ("b", 7)]
+
+
+def test_the_relevance_gate_moves_no_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "chunks", _never)
+    assert {r.passage for r in evaluation.relevance_gate(spark, _tables(spark, tmp_path)).collect()} <= {"p", "b"}
