@@ -64,3 +64,8 @@ def test_a_budget_counts_sizes_that_are_given(spark):
 def test_the_relevance_gate_moves_no_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "chunks", _never)
     assert {r.passage for r in evaluation.relevance_gate(spark, _tables(spark, tmp_path)).collect()} <= {"p", "b"}
+
+
+def test_reranking_moves_no_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "chunks", _never)
+    assert stage_plans.rerank_with_fallback(spark, _tables(spark, tmp_path)).count() == 4
