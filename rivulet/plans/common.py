@@ -42,13 +42,18 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
     """The index over all chunks, once an application."""
     texts = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk_id"), "text")
-    return lexical.open_index(texts.groupBy("chunk_id").agg(F.first("text", ignorenulls=True).alias("text")))
+    return lexical.open_index(texts)
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return lexical.search(lexical_index(spark, sf_dir), lexical.query_terms(questions(spark, sf_dir)), k)
 
 
+def bm25_relevant(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """``bm25`` for metrics at k: queries whose k best hold no relevant chunk, which score 0, may be left out."""
+    return lexical.search_wanted(lexical_index(spark, sf_dir), lexical.query_terms(questions(spark, sf_dir)), relevant(spark, sf_dir), k)
+
+
 def vector_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The vectors of ``embeddings``, and as queries those whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"), "label")

@@ -39,7 +39,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_METRICS} SELECT count(*) AS n, round(avg(recall), 5) AS recall, round(avg(precision), 5) AS precision, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr FROM m")
 def metric_means(spark: SparkSession, d: str) -> DataFrame:
-    return evals.means(evals.retrieval_metrics(C.bm25(spark, d, 10), C.relevant(spark, d), 5), ["recall", "precision", "ndcg", "mrr"])
+    return evals.means(evals.retrieval_metrics(C.bm25_relevant(spark, d, 5), C.relevant(spark, d), 5), ["recall", "precision", "ndcg", "mrr"])
 
 
 @query(f"""{_METRICS}, mods AS (SELECT query_id, min(modality) AS modality FROM rel JOIN (SELECT DISTINCT lower(chunk_id) AS chunk_id, modality FROM ch) USING (chunk_id) GROUP BY 1)
