@@ -40,7 +40,7 @@ def test_a_repeated_key_counts_once_with_a_text_that_is_not_null(spark, monkeypa
         assert sorted((str(r.chunk_id), r.text) for r in lexical.single_texts(frame).collect()) == right
 
 
-def test_means_take_the_search_for_relevant_chunks(spark, tmp_path, monkeypatch):
+def test_means_and_gate_take_the_search_for_relevant_chunks(spark, tmp_path, monkeypatch):
     row = "id string, document_id string, chunk_index int, text string, chunk_type string, modality string, parent_id string, page_no int, created_at timestamp, deleted_at timestamp"
     rows = [(f"c{i}", "d", i, "cat " * (i + 1) + f"t{i}", "child", "text", None, 1, None, None) for i in range(40)]
     spark.createDataFrame([*rows, rows[3]], row).coalesce(1).write.parquet(f"{tmp_path}/chunks.parquet")
@@ -52,3 +52,5 @@ def test_means_take_the_search_for_relevant_chunks(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(common, "bm25", None)  # every hit of every query
     means = evaluation.metric_means(spark, str(tmp_path)).first()
     assert means.asDict() == {"n": 2} | {x: pytest.approx(mean(x), abs=1e-5) for x in ("recall", "precision", "ndcg", "mrr")} and means.mrr > 0
+    gate = evaluation.gate_status(spark, str(tmp_path)).first()
+    assert (gate.n, gate.n_empty, gate.mean_recall, gate.status) == (2, 1, pytest.approx(mean("recall"), abs=1e-5), "FAILED: samples")
